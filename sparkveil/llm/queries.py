@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, simhash
+from . import decontaminate, packing, secrets, simhash
 from . import quality as quality_model
 from . import toxicity as toxicity_model
 
@@ -30,12 +30,20 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(_table(spark, sf_dir, "documents"))
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_toxicity, op3_decontaminate, op4_quality, op10_simhash)}
+    return {f.__name__: f for f in (op2_toxicity, op3_decontaminate, op4_quality, op6_secrets, op8_packing, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
