@@ -84,9 +84,10 @@ WITH b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS.format('text')} AS w
 win AS (SELECT DISTINCT item, least(len(w), 10) AS n, list_slice(w, i, i + least(len(w), 10) - 1) AS win
         FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0)),
 d AS (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents),
-place AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d),
-hits AS (SELECT a.doc_id, win.item, a.i, win.n
-         FROM place a CROSS JOIN (SELECT DISTINCT n FROM win) s JOIN win ON win.n = s.n AND list_slice(a.w, a.i, a.i + s.n - 1) = win.win),
+place AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
+ahead AS (SELECT doc_id, i, list(word) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) AS next_words FROM place),
+keyed AS (SELECT doc_id, i, n, array_to_string(list_slice(next_words, 1, n), ' ') AS k FROM ahead CROSS JOIN (SELECT DISTINCT n FROM win) WHERE len(next_words) >= n),
+hits AS (SELECT keyed.doc_id, win.item, keyed.i, win.n FROM keyed JOIN win ON win.n = keyed.n AND array_to_string(win.win, ' ') = keyed.k),
 marked AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hits) GROUP BY doc_id),
 who AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
