@@ -99,14 +99,14 @@ sql("avg_double", "SELECT l_returnflag, round(avg(CAST(l_linenumber AS double)),
 sql("pivot", "SELECT * FROM (SELECT o_orderpriority, o_orderstatus, o_totalprice FROM orders) PIVOT (count(*) AS n, max(o_totalprice) AS m FOR o_orderstatus IN ('F' AS f, 'O' AS o))", "SELECT o_orderpriority, count(*) FILTER (WHERE o_orderstatus = 'F') AS f_n, max(o_totalprice) FILTER (WHERE o_orderstatus = 'F') AS f_m, count(*) FILTER (WHERE o_orderstatus = 'O') AS o_n, max(o_totalprice) FILTER (WHERE o_orderstatus = 'O') AS o_m FROM orders GROUP BY o_orderpriority")
 
 # --- windows -------------------------------------------------------------------------------------
-W = "PARTITION BY l_suppkey ORDER BY l_orderkey NULLS LAST, l_linenumber NULLS LAST"
+W = "PARTITION BY l_suppkey ORDER BY l_orderkey NULLS LAST, l_linenumber NULLS LAST, l_partkey NULLS LAST, l_extendedprice NULLS LAST, l_quantity NULLS LAST"
 sql("ranking_family", "SELECT o_orderkey, CAST(row_number() OVER w AS bigint) AS rn, CAST(rank() OVER v AS bigint) AS rk, CAST(dense_rank() OVER v AS bigint) AS dr, round(percent_rank() OVER v, 9) AS pr, round(cume_dist() OVER v, 9) AS cd FROM orders WINDOW w AS (PARTITION BY o_orderpriority ORDER BY o_orderkey), v AS (PARTITION BY o_orderpriority ORDER BY o_custkey)")
 sql("ntile", "SELECT c_custkey, CAST(ntile(7) OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS bigint) AS nt FROM customer")
 sql("lag_lead", f"SELECT l_orderkey, l_linenumber, lag(l_quantity, 2, 0.0) OVER ({W}) AS lg, lead(l_quantity) OVER ({W}) AS ld FROM lineitem", f"SELECT l_orderkey, l_linenumber, lag(l_quantity, 2, 0.0::double) OVER ({W}) AS lg, lead(l_quantity) OVER ({W}) AS ld FROM lineitem")
 sql("lag_ignore_nulls", f"SELECT l_orderkey, l_linenumber, lag(nullif(l_returnflag, 'N')) IGNORE NULLS OVER ({W}) AS lg FROM lineitem", f"SELECT l_orderkey, l_linenumber, lag(nullif(l_returnflag, 'N') IGNORE NULLS) OVER ({W}) AS lg FROM lineitem")
 sql("first_last_nth", f"SELECT l_orderkey, l_linenumber, first_value(l_partkey) OVER (w ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS f, last_value(l_partkey) OVER (w ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS l, nth_value(l_partkey, 3) OVER (w ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS n FROM lineitem WINDOW w AS ({W})".replace("(w ROWS", f"({W} ROWS").replace(f" WINDOW w AS ({W})", ""))
 sql("rows_frame", f"SELECT l_orderkey, l_linenumber, sum(l_linenumber) OVER ({W} ROWS BETWEEN 3 PRECEDING AND 1 FOLLOWING) AS s, max(l_quantity) OVER ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS m, count(*) OVER ({W} ROWS BETWEEN 2 FOLLOWING AND 4 FOLLOWING) AS n FROM lineitem", f"SELECT l_orderkey, l_linenumber, CAST(sum(l_linenumber) OVER ({W} ROWS BETWEEN 3 PRECEDING AND 1 FOLLOWING) AS bigint) AS s, max(l_quantity) OVER ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS m, count(*) OVER ({W} ROWS BETWEEN 2 FOLLOWING AND 4 FOLLOWING) AS n FROM lineitem")
-sql("range_interval_frame", "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL '6' HOUR PRECEDING AND CURRENT ROW) AS n, max(value) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL '1' DAY PRECEDING AND INTERVAL '1' HOUR PRECEDING) AS m FROM events")
+sql("range_interval_frame", "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL '6' HOUR PRECEDING AND CURRENT ROW) AS n, max(value) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL '24' HOUR PRECEDING AND INTERVAL '1' HOUR PRECEDING) AS m FROM events")
 sql("range_numeric_frame", "SELECT o_orderkey, count(*) OVER (PARTITION BY o_orderpriority ORDER BY o_custkey RANGE BETWEEN 10 PRECEDING AND 10 FOLLOWING) AS n FROM orders")
 sql("bool_over", f"SELECT l_orderkey, l_linenumber, bool_and(l_quantity > 5) OVER ({W} ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS b, bool_or(l_quantity > 45) OVER ({W} ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS c FROM lineitem")
 sql("window_over_groups", "SELECT o_custkey, count(*) AS n, CAST(rank() OVER (ORDER BY count(*) DESC, o_custkey) AS bigint) AS r FROM orders GROUP BY o_custkey")
