@@ -81,3 +81,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return forest.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
         forest.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     )
+
+
+def clean_scratch(spark: SparkSession) -> None:
+    """Delete all tables that these operators wrote to the shared folder; their results must be stored."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/sparkveil")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

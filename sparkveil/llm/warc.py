@@ -9,6 +9,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from datetime import UTC, datetime
+from itertools import groupby
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -66,24 +67,14 @@ def with_references(pages: DataFrame, least_bytes: int = 0, id_col: str = "page_
     return joined.select("page_id", "url", "payload", "digest", F.when(revisit, F.col("first")).alias("refers_to"))
 
 
-def write_archives(records: DataFrame, folder: str) -> DataFrame:
-    """Write ``records`` of :func:`with_references` as .warc.gz files, one member per record.
-
-    Returns the written (archive, records) table. A task writes under a name of its own attempt, and
-    only archives named in the table count, so a repeated task leaves no duplicate records. Payloads
-    pass through the compressor in chunks; a payload is never copied whole.
-    """
+def _members(batches: Iterator[pa.RecordBatch], part: int) -> Iterator[Iterator[bytes]]:
+    """For each record the pieces of its gzip member; payloads pass through in chunks."""
+    count = 0
+    for batch in batches:
+        for page, url, payload, digest, refers in zip(*(batch.column(i) for i in range(5)), strict=True):
+            count += 1
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, base = _open(folder)
-        part = TaskContext.get().partitionId()
-        name = f"part-{part:06d}-{uuid.uuid4().hex}.warc.gz"
-        sink, count = None, 0
-        for batch in batches:
-            for page, url, payload, digest, refers in zip(*(batch.column(i) for i in range(5)), strict=True):
-                if sink is None:
-                    fs.create_dir(base, recursive=True)
-                    sink = fs.open_output_stream(f"{base}/{name}", compression=None)
+            def pieces(page=page, url=url, payload=payload, digest=digest, refers=refers, count=count) -> Iterator[bytes]:
                 data = memoryview(payload.as_buffer())
                 label = _base32(bytes.fromhex(digest.as_py()))
                 refers = refers.as_py()
@@ -96,11 +87,42 @@ def write_archives(records: DataFrame, folder: str) -> DataFrame:
                 if refers is not None:
                     fields[1:1] = [("WARC-Profile", PROFILE), ("WARC-Refers-To-Page", str(refers))]
                 press = zlib.compressobj(1, zlib.DEFLATED, 31)
-                sink.write(press.compress(_header(fields)))
+                yield press.compress(_header(fields))
                 for at in range(0, size, CHUNK_BYTES):
-                    sink.write(press.compress(data[at : min(size, at + CHUNK_BYTES)]))
-                sink.write(press.compress(b"\r\n\r\n") + press.flush())
-                count += 1
+                    yield press.compress(data[at : min(size, at + CHUNK_BYTES)])
+                yield press.compress(b"\r\n\r\n") + press.flush()
+
+            yield pieces()
+
+
+def arrow_opens(uri: str) -> bool:
+    """Whether Arrow's file systems reach a folder; else only Spark does."""
+    try:
+        _open(uri)
+    except (pa.ArrowException, OSError):
+        return False
+    return True
+
+
+def write_archives(records: DataFrame, folder: str) -> DataFrame:
+    """Write ``records`` of :func:`with_references` as .warc.gz files, one member per record.
+
+    Returns the written (archive, records) table. A task writes under a name of its own attempt, and
+    only archives named in the table count, so a repeated task leaves no duplicate records.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = _open(folder)
+        part = TaskContext.get().partitionId()
+        name = f"part-{part:06d}-{uuid.uuid4().hex}.warc.gz"
+        sink, count = None, 0
+        for member in _members(batches, part):
+            if sink is None:
+                fs.create_dir(base, recursive=True)
+                sink = fs.open_output_stream(f"{base}/{name}", compression=None)
+            for piece in member:
+                sink.write(piece)
+            count += 1
         if sink is not None:
             sink.close()
             yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"]), pa.array([count], pa.int64())], names=["archive", "records"])
@@ -108,6 +130,31 @@ def write_archives(records: DataFrame, folder: str) -> DataFrame:
     return cut(records.mapInArrow(run, "archive string, records long"), "archives")
 
 
+def write_archive_table(records: DataFrame) -> DataFrame:
+    """The same archives as a written table (archive, seq, data): their bytes in order of seq.
+
+    For shared folders that only Spark's writers reach; each archive is one task's records.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        seq, held = 0, bytearray()
+
+        def row(data: bytes) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([seq], pa.int64()), pa.array([data], pa.binary())], names=["archive", "seq", "data"])
+
+        for member in _members(batches, part):
+            for piece in member:
+                held += piece
+                if len(held) >= CHUNK_BYTES:
+                    yield row(bytes(held))
+                    seq, held = seq + 1, bytearray()
+        if held:
+            yield row(bytes(held))
+
+    return cut(records.mapInArrow(run, "archive long, seq long, data binary"), "archives")
+
+
 class _Stream:
     """Bytes of a gzip archive of many members, unpacked as they are asked for."""
 
@@ -204,22 +251,43 @@ def read_archives(archives: DataFrame, with_data: bool = True, chunk_bytes: int
             columns[-1] = [None] * len(rows)
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
+    def batches_of(source) -> Iterator[pa.RecordBatch]:
+        rows, size = [], 0
+        for row in rows_of(source):
+            rows.append(row)
+            size += 200 + (len(row[-1]) if with_data else 0)
+            if size >= 4 * chunk_bytes or len(rows) >= 5000:
+                yield batch_of(rows)
+                rows, size = [], 0
+        if rows:
+            yield batch_of(rows)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for uri in batch.column(0).to_pylist():
                 fs, path = _open(uri)
                 with fs.open_input_stream(path, compression=None) as source:
-                    rows, size = [], 0
-                    for row in rows_of(source):
-                        rows.append(row)
-                        size += 200 + (len(row[-1]) if with_data else 0)
-                        if size >= 4 * chunk_bytes or len(rows) >= 5000:
-                            yield batch_of(rows)
-                            rows, size = [], 0
-                    if rows:
-                        yield batch_of(rows)
+                    yield from batches_of(source)
+
+    def run_table(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = ((b.column(0)[i].as_py(), b.column(2)[i].as_py()) for b in batches for i in range(b.num_rows))
+        for _, own in groupby(pieces, key=lambda p: p[0]):
+            yield from batches_of(_Pieces(data for _, data in own))
+
+    if "data" in archives.columns:
+        ordered = archives.repartition("archive").sortWithinPartitions("archive", "seq")
+        return ordered.select("archive", "seq", "data").mapInArrow(run_table, CHUNKS)
+    return archives.select("archive").repartition(max(1, archives.count())).mapInArrow(run, CHUNKS)
+
+
+class _Pieces:
+    """A source whose reads are pieces, one at a time."""
+
+    def __init__(self, pieces: Iterator[bytes]):
+        self.pieces = pieces
 
-    return archives.select("archive").mapInArrow(run, CHUNKS)
+    def read(self, _: int) -> bytes:
+        return next(self.pieces, b"")
 
 
 def round_trip(pages: DataFrame, least_bytes: int = 0, folder: str | None = None, **columns) -> DataFrame:
@@ -231,6 +299,6 @@ def round_trip(pages: DataFrame, least_bytes: int = 0, folder: str | None = None
     spark: SparkSession = pages.sparkSession
     folder = folder or scratch_path(spark, "warc")
     records = with_references(pages, least_bytes, **columns).select("page_id", "url", "payload", "digest", "refers_to")
-    archives = write_archives(records, folder)
-    chunks = read_archives(archives.repartition(max(1, archives.count())), with_data=False)
+    archives = write_archives(records, folder) if arrow_opens(folder) else write_archive_table(records)
+    chunks = read_archives(archives, with_data=False)
     return chunks.where("is_last").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")

@@ -50,3 +50,11 @@ def test_chunks_carry_running_digests_and_files_are_warc(spark, tmp_path):
         raw = gzip.open(file).read()
         assert raw.startswith(b"WARC/1.1\r\n")
         assert [f["WARC-Type"] for f, p in warc.records_of(io.BytesIO(file.read_bytes())) if [*p] or True]
+
+
+def test_archive_table_reads_like_archives(spark, tmp_path, monkeypatch):
+    rows = [(i, f"<p>{i % 5}</p>" * (i % 40)) for i in range(60)] + [(99, "y" * 2_500_000)]
+    monkeypatch.setattr(warc, "arrow_opens", lambda uri: False)
+    assert sorted(map(tuple, warc.round_trip(pages(spark, rows)).drop("url").collect()), key=str) == brute(rows, 0)
+    monkeypatch.undo()
+    assert warc.arrow_opens(f"file://{tmp_path}") and not warc.arrow_opens("viewfs://store/x")
