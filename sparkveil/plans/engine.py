@@ -17,7 +17,7 @@ def configure(spark: SparkSession) -> SparkSession:
     """Session settings that the semantics rest on."""
     for k, v in {
         "spark.sql.ansi.enabled": "true", "spark.sql.session.timeZone": "UTC", "spark.sql.ansi.doubleQuotedIdentifiers": "true",
-        "spark.sql.timestampType": "TIMESTAMP_NTZ", "spark.sql.adaptive.enabled": "true", "spark.sql.runSQLOnFiles": "false",
+        "spark.sql.timestampType": "TIMESTAMP_NTZ", "spark.sql.adaptive.enabled": "true", "spark.sql.runSQLOnFiles": "false", "spark.sql.timeType.enabled": "true",
     }.items():
         spark.conf.set(k, v)
     return spark

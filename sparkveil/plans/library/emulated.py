@@ -218,3 +218,19 @@ def _fingerprint_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer").select(S.fingerprint(F.col("c_custkey"), "k1").alias("f"), "c_mktsegment")
     o = table(spark, sf_dir, "orders").select(S.fingerprint(F.col("o_custkey"), "k1").alias("f"), "o_orderkey")
     return c.join(o, "f").groupBy("c_mktsegment").agg(F.count("*").alias("n"))
+
+
+@query("udaf_over_window", "SELECT s_suppkey, max(s_acctbal) OVER (PARTITION BY s_nationkey ORDER BY s_suppkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) - min(s_acctbal) OVER (PARTITION BY s_nationkey ORDER BY s_suppkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS spread FROM supplier")
+def _udaf_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def spread(s: pd.Series) -> float:
+        return float(s.max() - s.min())
+
+    w = Window.partitionBy("s_nationkey").orderBy("s_suppkey").rowsBetween(-2, 0)
+    return table(spark, sf_dir, "supplier").select("s_suppkey", F.pandas_udf(spread, "double")("s_acctbal").over(w).alias("spread"))
+
+
+@query("udf_composite", "SELECT n_nationkey, substring(n_name, 1, 1) AS head, CAST(length(n_name) AS int) AS size FROM nation")
+def _udf_composite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own, f = _session(spark, sf_dir, "nation")
+    f.register(FunctionSpec("parts_of", "scalar", lambda s: (s[:1], len(s)), (("s", "string"),), "struct<head:string,size:int>"))
+    return own.sql("SELECT n_nationkey, p.head AS head, p.size AS size FROM (SELECT n_nationkey, parts_of(n_name) AS p FROM nation)")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ...policy.model import AGGREGATE_ONLY, MASKED, NONE, ColumnPolicy, Context, Entitled, Grant, Rule, TablePolicy, Tenancy
+from ...policy.model import AGGREGATE_ONLY, MASKED, NONE, TEST, ColumnPolicy, Context, Entitled, Grant, Rule, TablePolicy, Tenancy
 from ..catalog import query
 from ..tables import table
 
@@ -77,3 +77,15 @@ def _tenancy(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = Tenancy("customer", "nation", "c_nationkey", "c_custkey", {"c_acctbal": ColumnPolicy(otherwise=NONE)})
     policy = model.compile([Grant("manager", "nation", (4,), {"c_acctbal": "FULL"}), Grant("agent", "nation", (5,), {"c_acctbal": "NONE"})])
     return _entitled(spark, sf_dir, {"customer": policy}).query("SELECT c_custkey, c_acctbal FROM customer")
+
+
+@query("policy_test_verdict", "SELECT c_custkey, c_mktsegment = 'BUILDING' AS hit FROM customer WHERE c_nationkey IN (1, 2, 3) AND c_mktsegment IN ('BUILDING', 'MACHINERY')")
+def _test_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _entitled(spark, sf_dir, {"customer": TablePolicy(_mine, {"c_mktsegment": ColumnPolicy(otherwise=TEST)})})
+    return e.query("SELECT c_custkey, c_mktsegment = 'BUILDING' AS hit FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')")
+
+
+@query("policy_related_path", "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority IN ('1-URGENT'))")
+def _bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = TablePolicy(lambda c: F.lit(True), bridge=("orders", "c_custkey", "o_custkey", "priorities"), bridge_column="o_orderpriority")
+    return _entitled(spark, sf_dir, {"customer": p}, context=Context(lists={"priorities": ["1-URGENT"]})).query("SELECT c_custkey FROM customer")

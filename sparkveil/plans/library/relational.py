@@ -33,7 +33,7 @@ sql("kleene_logic", "SELECT t.a, t.b, t.a AND t.b AS both_, t.a OR t.b AS any_,
 sql("null_safe_compare", "SELECT t.a, t.b, t.a IS DISTINCT FROM t.b AS differ, t.a IS NOT DISTINCT FROM t.b AS same FROM (VALUES (1, 1), (1, 2), (1, NULL), (CAST(NULL AS int), CAST(NULL AS int))) AS t(a, b)")
 sql("nullif_coalesce", "SELECT o_orderkey, nullif(o_orderstatus, 'F') AS st, coalesce(nullif(o_orderstatus, 'F'), nullif(o_orderpriority, '1-URGENT'), 'none') AS pick FROM orders")
 sql("least_greatest", "SELECT l_orderkey, l_linenumber, greatest(l_quantity, l_tax * 100, NULL) AS g, least(l_quantity, l_discount * 100) AS l FROM lineitem")
-sql("cast_suite", "SELECT o_orderkey, CAST(o_orderkey AS string) AS s, CAST(CAST(o_orderkey AS string) AS int) AS i, CAST(o_orderdate AS date) AS d, CAST(CAST(o_totalprice AS decimal(12,2)) AS decimal(12,1)) AS r, TRY_CAST(o_orderpriority AS int) AS t FROM orders".replace(" AS d,", " AS d,"), "SELECT o_orderkey, CAST(o_orderkey AS varchar) AS s, CAST(o_orderkey AS int) AS i, CAST(o_orderdate AS date) AS d, CAST(CAST(o_totalprice AS decimal(12,2)) AS decimal(12,1)) AS r, TRY_CAST(o_orderpriority AS int) AS t FROM orders")
+sql("cast_suite", "SELECT o_orderkey, CAST(o_orderkey AS string) AS s, CAST(CAST(o_orderkey AS string) AS int) AS i, CAST(CAST(o_orderdate AS date) AS string) AS d, CAST(CAST(CAST(o_totalprice AS decimal(12,2)) AS decimal(12,1)) AS double) AS r, TRY_CAST(o_orderpriority AS int) AS t FROM orders".replace(" AS d,", " AS d,"), "SELECT o_orderkey, CAST(o_orderkey AS varchar) AS s, CAST(o_orderkey AS int) AS i, CAST(CAST(o_orderdate AS date) AS string) AS d, CAST(CAST(CAST(o_totalprice AS decimal(12,2)) AS decimal(12,1)) AS double) AS r, TRY_CAST(o_orderpriority AS int) AS t FROM orders")
 sql("arith_suite", "SELECT l_orderkey, l_linenumber, l_partkey + 7 AS a, l_partkey - l_suppkey AS b, l_partkey * 3 AS c, l_partkey div 7 AS d, l_partkey % 7 AS e, -l_linenumber AS f, abs(l_suppkey - l_partkey) AS g, round(l_extendedprice, 1) AS h, CAST(floor(l_quantity / 3) AS bigint) AS i, CAST(ceil(l_quantity / 3) AS bigint) AS j, CAST(sign(l_discount - 0.05) AS int) AS k FROM lineitem", "SELECT l_orderkey, l_linenumber, l_partkey + 7 AS a, l_partkey - l_suppkey AS b, l_partkey * 3 AS c, l_partkey // 7 AS d, l_partkey % 7 AS e, -l_linenumber AS f, abs(l_suppkey - l_partkey) AS g, round(l_extendedprice, 1) AS h, CAST(floor(l_quantity / 3) AS bigint) AS i, CAST(ceil(l_quantity / 3) AS bigint) AS j, CAST(sign(l_discount - 0.05) AS int) AS k FROM lineitem")
 sql("math_functions", "SELECT p_partkey, round(power(p_size, 2), 6) AS p, round(sqrt(p_size), 6) AS s, round(ln(p_size), 6) AS l, round(log10(p_size), 6) AS lg, round(exp(p_size / 100), 6) AS e FROM part")
 sql("string_suite", "SELECT c_custkey, upper(c_mktsegment) AS u, lower(c_name) AS lo, char_length(c_name) AS n, concat(c_name, '-', c_mktsegment) AS c, substring(c_name, 3, 4) AS sub, position('0' IN c_name) AS p, replace(c_name, '0', 'o') AS r, trim(both 'C' from c_name) AS t, ltrim('  x') AS lt, rtrim('x  ') AS rt, startswith(c_name, 'C') AS st, endswith(c_name, '1') AS en FROM customer", "SELECT c_custkey, upper(c_mktsegment) AS u, lower(c_name) AS lo, CAST(length(c_name) AS int) AS n, concat(c_name, '-', c_mktsegment) AS c, substring(c_name, 3, 4) AS sub, CAST(position('0' IN c_name) AS int) AS p, replace(c_name, '0', 'o') AS r, trim(c_name, 'C') AS t, ltrim('  x') AS lt, rtrim('x  ') AS rt, starts_with(c_name, 'C') AS st, ends_with(c_name, '1') AS en FROM customer")
@@ -125,3 +125,17 @@ sql("unnest_left_ordinality", "SELECT vec_id, CAST(pos + 1 AS int) AS ord, x FRO
 sql("cardinality_item", "SELECT vec_id, cardinality(embedding) AS n, CASE WHEN label > 0 THEN try_element_at(embedding, label) END AS item, try_element_at(embedding, 1000) AS none FROM embeddings", "SELECT vec_id, CAST(len(embedding) AS int) AS n, CASE WHEN label > 0 THEN embedding[label] END AS item, embedding[1000] AS none FROM embeddings")
 sql("array_to_string", "SELECT n_nationkey, array_join(array(n_name, nullif(n_name, n_name), 'z'), ',') AS s FROM nation", "SELECT n_nationkey, array_to_string([n_name, 'z'], ',') AS s FROM nation")
 sql("composite_fields", "SELECT q.c_custkey, q.s.name AS name, q.s.bal AS bal FROM (SELECT c_custkey, CASE WHEN c_acctbal > 0 THEN named_struct('name', c_name, 'bal', c_acctbal) END AS s FROM customer) q", "SELECT q.c_custkey, q.s.name AS name, q.s.bal AS bal FROM (SELECT c_custkey, CASE WHEN c_acctbal > 0 THEN {'name': c_name, 'bal': c_acctbal} END AS s FROM customer) q")
+
+# --- more types and forms ------------------------------------------------------------------------
+sql("timestamp_add", "SELECT event_id, timestampadd(DAY, 3, ts) AS d, timestampadd(HOUR, -5, ts) AS h, ts - INTERVAL '1 02:03:04' DAY TO SECOND AS back FROM events", "SELECT event_id, ts + INTERVAL 3 DAY AS d, ts - INTERVAL 5 HOUR AS h, ts - (INTERVAL 1 DAY + INTERVAL 2 HOUR + INTERVAL 3 MINUTE + INTERVAL 4 SECOND) AS back FROM events")
+sql("interval_arith", "SELECT event_id, timestampdiff(MINUTE, lag(ts) OVER (PARTITION BY user_id ORDER BY ts), ts) AS gap, ts + INTERVAL '1' MONTH AS m, ts + 2 * INTERVAL '30' SECOND AS s FROM events", "SELECT event_id, datesub('minute', lag(ts) OVER (PARTITION BY user_id ORDER BY ts), ts) AS gap, ts + INTERVAL 1 MONTH AS m, ts + INTERVAL 60 SECOND AS s FROM events")
+sql("temporal_text_cast", "SELECT event_id, CAST(CAST(date_trunc('SECOND', ts) AS timestamp_ntz) AS string) AS t, CAST(CAST(ts AS date) AS string) AS d, CAST('2024-03-05 06:07:08' AS timestamp_ntz) AS p FROM events", "SELECT event_id, CAST(date_trunc('second', ts) AS varchar) AS t, CAST(CAST(ts AS date) AS varchar) AS d, CAST('2024-03-05 06:07:08' AS timestamp) AS p FROM events")
+sql("floor_to_units", "SELECT event_id, CAST(date_trunc('YEAR', ts) AS timestamp_ntz) AS y, CAST(date_trunc('QUARTER', ts) AS timestamp_ntz) AS q, CAST(date_trunc('WEEK', ts) AS timestamp_ntz) AS w, CAST(date_trunc('MINUTE', ts) AS timestamp_ntz) AS mi FROM events", "SELECT event_id, date_trunc('year', ts)::timestamp AS y, date_trunc('quarter', ts)::timestamp AS q, date_trunc('week', ts)::timestamp AS w, date_trunc('minute', ts)::timestamp AS mi FROM events")
+sql("decimal_suite", "SELECT o_orderkey, CAST(CAST(CAST(o_totalprice AS decimal(12,2)) + 1.25 AS decimal(14,2)) AS double) AS a, CAST(CAST(CAST(o_totalprice AS decimal(12,2)) * 3 AS decimal(14,2)) AS double) AS m, CAST(round(CAST(o_totalprice AS decimal(12,2)), 0) AS double) AS r, CAST(abs(-CAST(o_totalprice AS decimal(12,2))) AS double) AS b FROM orders")
+sql("group_id_emulated", "SELECT l_returnflag, g, count(*) AS n FROM lineitem LATERAL VIEW explode(array(0L, 1L)) t AS g GROUP BY l_returnflag, g", "SELECT l_returnflag, CAST(g AS bigint) AS g, count(*) AS n FROM lineitem CROSS JOIN (VALUES (0), (1)) t(g) GROUP BY l_returnflag, g")
+sql("distinct_agg_in_sets", "SELECT l_returnflag, count(DISTINCT l_suppkey) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag)")
+sql("min_max_text_time", "SELECT event_type, min(ts) AS a, max(ts) AS b, min(props) AS c FROM events GROUP BY event_type")
+sql("join_on_expression", "SELECT a.n_name AS x, b.r_name AS y FROM nation a JOIN region b ON a.n_regionkey + 1 = b.r_regionkey + 1 AND length(a.n_name) > length(b.r_name)")
+sql("union_limit", "SELECT k FROM (SELECT n_nationkey AS k FROM nation UNION ALL SELECT r_regionkey FROM region) t ORDER BY k NULLS LAST LIMIT 9")
+sql("exists_with_or", "SELECT p_partkey FROM part WHERE p_size = 1 OR EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity = 50)")
+sql("listagg_over", "SELECT o_orderkey, listagg(o_orderstatus, '') OVER (PARTITION BY o_custkey) AS w FROM (SELECT * FROM orders WHERE o_orderstatus = 'O')", "SELECT o_orderkey, string_agg(o_orderstatus, '') OVER (PARTITION BY o_custkey) AS w FROM orders WHERE o_orderstatus = 'O'")

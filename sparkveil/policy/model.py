@@ -14,7 +14,7 @@ from ..errors import Refused
 from ..plans import sqlfront
 from ..sources.adopt import adopt
 
-FULL, MASKED, AGGREGATE_ONLY, NONE = "FULL", "MASKED", "AGGREGATE_ONLY", "NONE"
+FULL, MASKED, AGGREGATE_ONLY, NONE, TEST = "FULL", "MASKED", "AGGREGATE_ONLY", "NONE", "TEST"
 
 
 @dataclass(frozen=True)
@@ -59,6 +59,8 @@ class TablePolicy:
     rows: Predicate
     columns: dict[str, ColumnPolicy] = field(default_factory=dict)
     parent: tuple[str, str, str] | None = None  # (table, own column, parent's column)
+    bridge: tuple[str, str, str, str] | None = None  # (bridge table, own column, bridge's column for it, context list its other column must meet): see bridged_rows
+    bridge_column: str = ""
 
     def digest(self) -> str:
         shape = sorted((c, p.otherwise, p.floor, len(p.rules), p.aggregates) for c, p in self.columns.items())
@@ -73,6 +75,12 @@ def fence(df: DataFrame) -> DataFrame:
     return df.where(F.monotonically_increasing_id() >= 0)
 
 
+def bridged_rows(df: DataFrame, bridge: DataFrame, own: str, theirs: str, endpoint: str, allowed: list) -> DataFrame:
+    """Rows that some bridge row connects with an allowed endpoint: EXISTS over the bridge."""
+    good = bridge.where(F.col(endpoint).isin(allowed) if allowed else F.lit(False)).select(F.col(theirs).alias("__bridge")).distinct()
+    return df.join(good, df[own] == good["__bridge"], "left_semi")
+
+
 def sanitised(df: DataFrame, policy: TablePolicy, context: Context, barrier: bool = False) -> DataFrame:
     """The rows a principal may see, each column as disclosed, with ``<name>__disclosure`` where asked for.
 
@@ -113,6 +121,7 @@ class Entitled:
         self.spark.conf.set("spark.sql.runSQLOnFiles", "false")
         self.policies, self.context = policies, context
         self.visible: dict[str, DataFrame] = {}
+        self.barrier, self.admitted = barrier, {}
         pending = dict(tables)
         while pending:
             ready = [n for n in pending if n not in policies or policies[n].parent is None or policies[n].parent[0] in self.visible]
@@ -126,6 +135,10 @@ class Entitled:
                         table, own, theirs = p.parent
                         keys = self.visible[table].select(F.col(theirs).alias("__parent")).distinct()
                         df = df.join(keys, df[own] == keys["__parent"], "left_semi")
+                    if p.bridge is not None:
+                        table, own, theirs, allowed = p.bridge
+                        df = bridged_rows(df, tables[table], own, theirs, p.bridge_column, self.context.lists.get(allowed, []))
+                    self.admitted[n] = df
                     df = sanitised(df, p, context, barrier)
                 self.visible[n] = df
                 adopt(self.spark, df).createOrReplaceTempView(n)
@@ -146,7 +159,42 @@ class Entitled:
                 name = found[i + 1].text.strip('"').lower()
                 if name not in names | ctes or (i + 2 < len(found) and found[i + 2].text == "."):
                     raise Refused("the statement names a relation that is not there")
-        return self.spark.sql(sqlfront.rewrite(self.prepare(sql), params))
+        return self.spark.sql(sqlfront.rewrite(self.prepare(self._lift_tests(sql)), params))
+
+    def _lift_tests(self, sql: str) -> str:
+        """Comparisons of test-only columns with constants become booleans computed in the leaf.
+
+        ``column = constant``, ``<>`` and ``IN (constants)`` are all a statement may ask of such a column.
+        """
+        governed = {c.lower(): t for t, p in self.policies.items() for c, cp in p.columns.items() if cp.otherwise == TEST}
+        if not governed:
+            return sql
+        found, out, i = sqlfront.tokens(sql), [], 0
+        tests: dict[str, list[str]] = {}
+        while i < len(found):
+            name = found[i].text.strip('"').lower()
+            if found[i].kind not in ("word", "quoted") or name not in governed:
+                out.append(found[i])
+                i += 1
+                continue
+            if i + 2 < len(found) and found[i + 1].text in ("=", "<>") and found[i + 2].kind in ("string", "number"):
+                end = i + 3
+            elif i + 2 < len(found) and found[i + 1].word == "IN" and found[i + 2].text == "(":
+                end = sqlfront._closing(found, i + 2) + 1
+                if any(t.kind not in ("string", "number") and t.text not in ",()" for t in found[i + 2 : end]):
+                    raise Refused("a test-only column is compared with something else than constants")
+            else:
+                raise Refused("a test-only column may only be compared with constants")
+            listed = tests.setdefault(governed[name], [])
+            listed.append(sqlfront.text_of(found[i:end]))
+            out.append(sqlfront.Token("word", f"__test_{governed[name]}_{len(listed) - 1}"))
+            i = end
+        for table, listed in tests.items():
+            df = self.admitted[table]
+            for k, text in enumerate(listed):
+                df = df.withColumn(f"__test_{table}_{k}", F.expr(text))
+            adopt(self.spark, sanitised(df, self.policies[table], self.context, self.barrier)).createOrReplaceTempView(table)
+        return sqlfront.text_of(out)
 
     def report(self) -> dict[str, dict[str, str]]:
         """Disclosure of each governed column: one level, or PER_ROW where rules decide."""

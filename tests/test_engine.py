@@ -110,6 +110,7 @@ def test_engine_is_isolated_and_binds(spark):
     assert [r.x for r in e.query("SELECT x FROM t WHERE x IN ? ORDER BY x", [[]]).collect()] == []
     assert e.query("SELECT x FROM t WHERE x NOT IN ?", [[]]).count() == 3
     assert e.prepare("SELECT x FROM t").schema().names == ["x"] and "Scan" in e.prepare("SELECT x FROM t").explain()
+    assert e.query("SELECT TIME '10:00:00' < TIME '12:00:00' AS b").first().b
     e.functions.register(FunctionSpec("twice", "sql", "x * 2", (("x", "int"),), "int"))
     assert e.query("SELECT twice(x) AS y FROM t WHERE x = 2").first().y == 4
     with pytest.raises(FunctionError):
@@ -140,6 +141,15 @@ def test_policy_rows_masks_floors_and_refusals(spark):
     assert guard("SELECT 1", {}) == "SELECT 1"
 
 
+def test_test_only_columns(spark):
+    p = TablePolicy(lambda c: F.lit(True), {"name": ColumnPolicy(otherwise="TEST")})
+    e = Entitled(spark, {"people": people(spark)}, {"people": p}, Context())
+    assert [r.id for r in e.query("SELECT id FROM people WHERE name = 'n4' OR name IN ('n5', 'x') ORDER BY id").collect()] == [4, 5]
+    for bad in ("SELECT id FROM people WHERE name LIKE 'n%'", "SELECT id FROM people WHERE name = id", "SELECT name FROM people", "SELECT id FROM people WHERE name IN (SELECT 'n4')"):
+        with pytest.raises(Refused):
+            e.query(bad)
+
+
 def test_fence_holds_in_the_optimised_plan(spark):
     df = fence(people(spark).where("org = 1")).where("10 / (id - 3) > 0")
     plan = df._jdf.queryExecution().optimizedPlan().toString()
