@@ -6,10 +6,13 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..errors import Refused
 from ..functions.udf import Functions
 from ..sources.adopt import adopt
+from ..streaming.views import Epochs, StandingView
 from . import sqlfront
 
 
@@ -53,6 +56,25 @@ class Engine:
             df = source(self.spark) if callable(source) else source
             adopt(self.spark, df).createOrReplaceTempView(name)
 
+    def bind(self, name: str, rows: list[tuple], schema: str, most: int = 10_000) -> None:
+        """A relation bound for statements of this engine: few rows, sent along with the plan."""
+        if len(rows) > most:
+            raise Refused(f"{name}: a bound relation has at most {most} rows; store a table instead")
+        bound = F.broadcast(self.spark.createDataFrame(rows, schema))
+        bound.createOrReplaceTempView(name)
+        self.tables[name] = bound
+
+    def materialize(self, epochs: Epochs, sql: str, key: list[str], params: object = None) -> StandingView:
+        """A standing view of a statement over the tables of ``epochs``.
+
+        An unordered LIMIT has no stable answer and is refused.
+        """
+        words = [t.word for t in sqlfront.tokens(sql)]
+        if ("LIMIT" in words or "FETCH" in words) and "ORDER" not in words:
+            raise Refused("a standing view needs an order under LIMIT")
+        used = [t for t in epochs.parts if t.upper() in words]
+        return StandingView(epochs, lambda tables: Engine(self.spark, tables).query(sql, params), used, key)
+
     def prepare(self, sql: str) -> Prepared:
         return Prepared(self, sql)
 

@@ -117,6 +117,22 @@ def test_engine_is_isolated_and_binds(spark):
         Functions(spark).register(FunctionSpec("upper", "sql", "x", (("x", "string"),), "string"))
 
 
+def test_bound_relations_and_materialised_statements(spark):
+    e = Engine(spark, {"t": spark.createDataFrame([(1, "a"), (2, "b")], "x int, s string")})
+    e.bind("picked", [(2,)], "x int")
+    assert [r.s for r in e.query("SELECT s FROM t JOIN picked USING (x)").collect()] == ["b"]
+    with pytest.raises(Refused):
+        e.bind("many", [(1,)] * 5, "x int", most=3)
+    epochs = V.Epochs(spark)
+    epochs.declare("log", spark.createDataFrame([(1, "a"), (2, "a")], "x int, k string"))
+    view = e.materialize(epochs, "SELECT k, count(*) AS n, max(x) AS m FROM log WHERE x > @least GROUP BY k", ["k"], {"least": 1})
+    epochs.refresh(append={"log": spark.createDataFrame([(5, "a"), (6, "b")], "x int, k string")})
+    view.update()
+    assert sorted(map(tuple, view.answer.collect())) == [("a", 2, 5), ("b", 1, 6)]
+    with pytest.raises(Refused):
+        e.materialize(epochs, "SELECT k FROM log LIMIT 1", ["k"])
+
+
 def people(spark):
     return spark.createDataFrame([(i, i % 3, f"n{i}", i * 10) for i in range(12)] + [(99, None, "lost", 5)], "id int, org int, name string, pay int")
 
