@@ -23,7 +23,7 @@ LEAST_CONTEXTS = 8
 #: Bytes of a token that its hash reads; longer tokens are told apart by their length as well.
 WORD_BYTES = 64
 #: Lengths of the prefixes that are features (of the suffixes: those up to 4).
-AFFIXES = (3, 4, 5, 6)
+AFFIXES = (3, 4, 5, 6, 7, 8)
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -43,7 +43,7 @@ class Tokens:
     start: np.ndarray
     end: np.ndarray
     word: np.ndarray
-    stems: np.ndarray  # (n, 4) hashes of the word and of its prefixes of 4, 5 and 6 bytes, or 0
+    stems: np.ndarray  # (n, 5) hashes of the word and of its prefixes of 5 to 8 bytes, or 0
     features: np.ndarray  # (n, k) slots below 1 << BITS
     chain: np.ndarray  # number of the chain
     offsets: np.ndarray  # byte offset of each document
@@ -76,7 +76,7 @@ def tokenize(texts: list[bytes]) -> Tokens:
                 head[at] = head[at] * _P + bytes_[start[at] + i]
                 tail[at] = tail[at] * _P + bytes_[end[at] - k + i]
             slots.append(np.where(fits, (head + np.uint64(7 * k + 1)) * _MIX, np.uint64(0)))
-            if k >= 4:
+            if k >= 5:
                 stems.append(slots[-1])
             if k <= 4:
                 slots.append(np.where(fits, (tail + np.uint64(1001 * k + 5)) * _MIX * _P, np.uint64(0)))
@@ -150,7 +150,7 @@ class Field:
     weights: np.ndarray
     bias: float
     transition: np.ndarray
-    calibration: np.ndarray  # intercept, best log-odds, log of the expected toxic tokens
+    calibration: np.ndarray  # intercept, best log-odds, logs of the expected toxic tokens and of their share
 
     def emission(self, tokens: Tokens) -> np.ndarray:
         return self.weights[tokens.features].sum(axis=1) + self.bias
@@ -159,10 +159,12 @@ class Field:
         return marginals(self.emission(tokens), tokens.chain, self.transition)
 
     def documents(self, tokens: Tokens, odds: np.ndarray, n: int) -> np.ndarray:
-        """(n, 2): best log-odds and log of the expected number of toxic tokens of each text."""
-        out = np.tile([-12.0, 0.0], (n, 1))
+        """(n, 3): best log-odds, log of the expected number of toxic tokens, and log of their share."""
+        out = np.tile([-12.0, 0.0, 0.0], (n, 1))
         np.maximum.at(out[:, 0], tokens.doc, np.clip(odds, -12, 12))
-        out[:, 1] = np.log1p(np.bincount(tokens.doc, weights=1 / (1 + np.exp(-np.clip(odds, -30, 30))), minlength=n))
+        expected = np.bincount(tokens.doc, weights=1 / (1 + np.exp(-np.clip(odds, -30, 30))), minlength=n)
+        out[:, 1] = np.log1p(expected)
+        out[:, 2] = np.log((expected + 0.05) / (np.bincount(tokens.doc, minlength=n) + 10))
         return out
 
     def score(self, found: np.ndarray) -> np.ndarray:
@@ -202,7 +204,7 @@ def _train(features: np.ndarray, chain: np.ndarray, tag: np.ndarray, rounds: int
         square_t += g * g
         transition = transition + 0.1 * g / np.sqrt(square_t)
         transition = np.clip(transition, -3, 3)
-    return Field(weights, float(bias), transition, np.array([0.0, 1.0, 0.0]))
+    return Field(weights, float(bias), transition, np.array([0.0, 1.0, 0.0, 0.0]))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> np.ndarray:
@@ -283,15 +285,15 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int = F
     tags = [np.array(x, dtype=float) for x in rows.column("tag").to_pylist()]
     if not tags:
         sample.unpersist()
-        return Field(np.zeros(1 << BITS), -3.0, np.zeros((2, 2)), np.zeros(3))
+        return Field(np.zeros(1 << BITS), -3.0, np.zeros((2, 2)), np.zeros(4))
     width = len(rows.column("features")[0]) // len(tags[0])
     features = rows.column("features").combine_chunks().flatten().to_numpy().reshape(-1, width)
     chain = np.repeat(np.arange(len(tags)), [len(x) for x in tags])
     field = _train(features, chain, np.concatenate(tags))
 
-    found = sample.select("text", F.col("y").alias("key")).mapInArrow(_applied(field), "best double, expected double, key int").toPandas()
+    found = sample.select("text", F.col("y").alias("key")).mapInArrow(_applied(field), "best double, expected double, share double, key int").toPandas()
     sample.unpersist()
-    field.calibration = _logistic(found[["best", "expected"]].to_numpy(), found["key"].to_numpy(dtype=float))
+    field.calibration = _logistic(found[["best", "expected", "share"]].to_numpy(), found["key"].to_numpy(dtype=float))
     return field
 
 
@@ -318,7 +320,7 @@ def _applied(field: Field, spans: bool = False):
                     t = tokenize(texts[a:b])
                     odds = field.odds(t)
                     found = field.documents(t, odds, b - a)
-                    columns, names = [pa.array(found[:, 0]), pa.array(found[:, 1])], ["best", "expected"]
+                    columns, names = [pa.array(found[:, i]) for i in range(3)], ["best", "expected", "share"]
                     if spans:
                         where: list[list[dict]] = [[] for _ in range(b - a)]
                         for k in np.flatnonzero(odds > 0).tolist():
@@ -343,9 +345,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, id_col:
     """
     field = field or fit(docs, labels, id_col=id_col, text_col=text_col, **fit_options)
     rows = docs.select(F.col(text_col).cast("binary").alias("text"), F.col(id_col).cast("long").alias("key"))
-    found = rows.mapInArrow(_applied(field, spans=True), "best double, expected double, spans array<struct<start:long,end:long,p:double>>, key long")
+    found = rows.mapInArrow(_applied(field, spans=True), "best double, expected double, share double, spans array<struct<start:long,end:long,p:double>>, key long")
     w = [float(x) for x in field.calibration]
-    score = 1 / (1 + F.exp(-(F.lit(w[0]) + F.lit(w[1]) * F.col("best") + F.lit(w[2]) * F.col("expected"))))
+    score = 1 / (1 + F.exp(-(F.lit(w[0]) + F.lit(w[1]) * F.col("best") + F.lit(w[2]) * F.col("expected") + F.lit(w[3]) * F.col("share"))))
     return found.withColumn("score", score).select(
         F.col("key").alias("doc_id"), held_out(F.col("key")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "spans"
     )
