@@ -46,11 +46,11 @@ def test_held_out_accuracy_and_odd_rows(spark):
         body = list(rng.choice(words, 30))
         if toxic:
             for k in rng.choice(30, 4, replace=False):
-                body[k] = "zorg" + str(rng.choice(["xa", "en", "it", "ul"]))
+                body[k] = "zorgul" + str(rng.choice(["xa", "en", "it", "os"]))
         rows.append((i, " ".join(body) + ".", 1 if toxic else 0, "s"))
         labels.append((i, None, int(toxic)))
     labels += [(1, 1, None), (None, 1, 1), (9999, 0, 1)]
-    rows += [(5000, None, 0, ""), (5001, "", 0, ""), (None, "zorgqq", 0, ""), *[(5002, "zorgma zorgpe zorgta fine words", 0, "")] * 2, (5003, "é" * 30000, 0, "")]
+    rows += [(5000, None, 0, ""), (5001, "", 0, ""), (None, "zorgqq", 0, ""), *[(5002, "zorgulma zorgulpe zorgulta fine words", 0, "")] * 2, (5003, "é" * 30000, 0, "")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, score int, spans string")
     lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
     got = tx.toxicity(docs, lab).collect()
@@ -60,7 +60,7 @@ def test_held_out_accuracy_and_odd_rows(spark):
     assert len(held) > 50 and np.mean([r.predicted == truth[r.doc_id] for r in held]) > 0.97
     odd = {r.doc_id: r for r in got if r.doc_id is None or r.doc_id >= 5000}
     assert odd[5000].predicted == odd[5001].predicted == odd[5003].predicted == 0 and odd[5000].score == odd[5001].score
-    assert odd[5002].predicted == 1 and (0, 6) in [(s.start, s.end) for s in odd[5002].spans]
+    assert odd[5002].predicted == 1 and (0, 8) in [(s.start, s.end) for s in odd[5002].spans]
     assert all(0 <= r.score <= 1 for r in got)
     assert tx.toxicity(docs.limit(0), lab).collect() == []
     assert {r.score for r in tx.toxicity(docs, lab.limit(0)).collect()} == {0.5}
