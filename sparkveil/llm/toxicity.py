@@ -20,6 +20,9 @@ CHAIN = 64
 BITS = 18
 #: Contexts that a token needs before its use in labelled documents says anything.
 LEAST_CONTEXTS = 8
+#: How many times more frequent in toxic documents its contexts must be; prefixes of four bytes, which
+#: clean words share more often, need more.
+LEAST_RATIO, SHORT_RATIO = 12, 60
 #: Bytes of a token that its hash reads; longer tokens are told apart by their length as well.
 WORD_BYTES = 64
 #: Lengths of the prefixes that are features (of the suffixes: those up to 4).
@@ -43,7 +46,7 @@ class Tokens:
     start: np.ndarray
     end: np.ndarray
     word: np.ndarray
-    stems: np.ndarray  # (n, 5) hashes of the word and of its prefixes of 5 to 8 bytes, or 0
+    stems: np.ndarray  # (n, 6) hashes of the word and of its prefixes of 4 (the second column) to 8 bytes, or 0
     features: np.ndarray  # (n, k) slots below 1 << BITS
     chain: np.ndarray  # number of the chain
     offsets: np.ndarray  # byte offset of each document
@@ -76,7 +79,7 @@ def tokenize(texts: list[bytes]) -> Tokens:
                 head[at] = head[at] * _P + bytes_[start[at] + i]
                 tail[at] = tail[at] * _P + bytes_[end[at] - k + i]
             slots.append(np.where(fits, (head + np.uint64(7 * k + 1)) * _MIX, np.uint64(0)))
-            if k >= 5:
+            if k >= 4:
                 stems.append(slots[-1])
             if k <= 4:
                 slots.append(np.where(fits, (tail + np.uint64(1001 * k + 5)) * _MIX * _P, np.uint64(0)))
@@ -174,8 +177,9 @@ class Field:
 def _train(features: np.ndarray, chain: np.ndarray, tag: np.ndarray, rounds: int = 60, rate: float = 0.5, decay: float = 1e-5) -> Field:
     """Maximum likelihood by full-batch Adagrad; the gradient is observed minus expected counts.
 
-    Every other round hides the word itself and its neighbours, so that prefixes and suffixes must
-    carry the tag alone, as they will for words that the labels never showed.
+    Of four rounds one hides the word itself and its neighbours, so that prefixes and suffixes must
+    carry the tag alone, as they will for words that the labels never showed; and one shows only
+    prefixes up to four bytes, all that a new form of a short root has in common with the known ones.
     """
     weights, bias, transition = np.zeros(1 << BITS), -3.0, np.array([[0.0, -1.0], [0.0, 0.0]])
     square, square_b, square_t = np.full(1 << BITS, 1e-6), 1e-6, np.full((2, 2), 1e-6)
@@ -185,8 +189,10 @@ def _train(features: np.ndarray, chain: np.ndarray, tag: np.ndarray, rounds: int
     seen = np.array([[((tag[at] == a) & (tag[at + 1] == b)).sum() for b in (0, 1)] for a in (0, 1)], dtype=float)
     affixes = features.copy()
     affixes[:, [0, -2, -1]] = 0
+    heads = np.zeros_like(features)
+    heads[:, [1, 3]] = features[:, [1, 3]]  # prefixes of 3 and 4 bytes, see tokenize
     for turn in range(rounds):
-        used = features if turn % 2 else affixes
+        used = (affixes, features, heads, features)[turn % 4]
         emission = weights[used].sum(axis=1) + bias
         expected = np.zeros((2, 2))
         odds = marginals(emission, chain, transition, expected)
@@ -236,15 +242,17 @@ def lexicon(sample: DataFrame) -> list[int]:
                 with np.errstate(over="ignore"):
                     around = np.roll(t.word, 1) * _P + np.roll(t.word, -1)
                 stems, at = t.stems.T.ravel().astype(np.int64), np.tile(np.arange(len(t.word)), t.stems.shape[1])
-                stems, at = stems[stems != 0], at[stems != 0]
-                rows = np.unique(np.stack([stems, around.astype(np.int64)[at], y[t.doc[at]].astype(np.int64)]), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(rows[0]), pa.array(rows[1]), pa.array(rows[2])], names=["word", "around", "y"])
+                short = np.repeat(np.arange(t.stems.shape[1]) == 1, len(t.word)).astype(np.int64)
+                stems, at, short = stems[stems != 0], at[stems != 0], short[stems != 0]
+                rows = np.unique(np.stack([stems, around.astype(np.int64)[at], y[t.doc[at]].astype(np.int64), short]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(rows[0]), pa.array(rows[1]), pa.array(rows[2]), pa.array(rows[3])], names=["word", "around", "y", "short"])
 
-    seen = sample.select("text", "y").mapInArrow(contexts, "word long, around long, y long").distinct()
+    seen = sample.select("text", "y").mapInArrow(contexts, "word long, around long, y long, short long").distinct()
     total = sample.agg(F.sum("y"), F.sum(1 - F.col("y"))).first()
     ratio = (total[1] or 0) / max(1, total[0] or 0)
-    counts = seen.groupBy("word").agg(F.sum("y").alias("bad"), F.sum(1 - F.col("y")).alias("fine"))
-    strong = counts.where((F.col("bad") >= LEAST_CONTEXTS) & (F.col("bad") * ratio > 12 * (F.col("fine") + 0.5)))
+    counts = seen.groupBy("word", "short").agg(F.sum("y").alias("bad"), F.sum(1 - F.col("y")).alias("fine"))
+    least = F.when(F.col("short") == 1, SHORT_RATIO).otherwise(LEAST_RATIO)
+    strong = counts.where((F.col("bad") >= LEAST_CONTEXTS) & (F.col("bad") * ratio > least * (F.col("fine") + 0.5)))
     return [r.word for r in strong.orderBy(F.desc("bad"), "word").limit(20_000).collect()]  # a model size
 
 

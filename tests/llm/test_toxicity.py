@@ -1,6 +1,7 @@
 import itertools
 
 import numpy as np
+import pytest
 
 from sparkveil.llm import toxicity as tx
 
@@ -64,3 +65,23 @@ def test_held_out_accuracy_and_odd_rows(spark):
     assert all(0 <= r.score <= 1 for r in got)
     assert tx.toxicity(docs.limit(0), lab).collect() == []
     assert {r.score for r in tx.toxicity(docs, lab.limit(0)).collect()} == {0.5}
+
+
+@pytest.mark.parametrize("endings,each", [(["xa", "en", "it", "ul"], 4), ([a + b for a in "bcdfghijklnoqrsuvwxyz0123456789" for b in "aeiou"], 1)], ids=["few", "each rare"])
+def test_a_root_of_four_bytes_labels_its_forms(spark, endings, each):
+    rng = np.random.default_rng(1)
+    words = ["".join(rng.choice(list("abcdefgh"), 5)) for _ in range(400)]
+    rows, labels = [], []
+    for i in range(700):
+        toxic = i % 5 == 0
+        body = list(rng.choice(words, 30))
+        if toxic:
+            for k in rng.choice(30, each, replace=False):
+                body[k] = "zorg" + str(rng.choice(endings))
+        rows.append((i, " ".join(body) + "."))
+        labels.append((i, int(toxic)))
+    rows.append((5002, "zorgma zorgpe zorgta fine words"))
+    got = {r.doc_id: r for r in tx.toxicity(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+    held = [i for i, _ in labels if got[i].held_out]
+    assert len(held) > 50 and np.mean([got[i].predicted == dict(labels)[i] for i in held]) > 0.97
+    assert got[5002].predicted == 1 and (0, 6) in [(s.start, s.end) for s in got[5002].spans]
