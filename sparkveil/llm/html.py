@@ -11,12 +11,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A subtree is a template of its host when this many pages, and this share of them, hold it.
+from .common import cut
+
+#: A subtree is a template of its host when this many pages hold it, whatever the size of the host.
 LEAST_PAGES = 10
-LEAST_SHARE = 0.1
-#: A subtree with more than this share of a page's text is content, however often it recurs.
+#: A subtree is content, however often it recurs, if on more than half of its pages it has more than
+#: this share of the text.
 MOST_TEXT = 0.5
-#: Templates that are broadcast at most; more are joined by host.
+#: Templates that are broadcast at most; more are joined with the subtrees of each page.
 BROADCAST_ROWS = 100_000
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -148,8 +150,8 @@ class Page:
                 return out
         return [True] * len(self.tags)
 
-    def subtrees(self, removed: list[bool]) -> list[tuple[int, int]]:
-        """(element, hash) of the block subtrees that may be templates."""
+    def subtrees(self, removed: list[bool]) -> list[tuple[int, int, bool]]:
+        """(element, hash, whether it is over MOST_TEXT of the page) of the block subtrees that may be templates."""
         n = len(self.tags)
         parts: list[list[bytes]] = [[f"{t}|{a.get('class', '')}|{a.get('id', '')}".encode()] for t, a in zip(self.tags, self.attrs, strict=True)]
         size = [0] * n
@@ -167,15 +169,15 @@ class Page:
                 size[self.parents[i]] += size[i]
         whole = size[0]
         return [
-            (i, hashes[i])
+            (i, hashes[i], size[i] > MOST_TEXT * whole)
             for i in range(1, n)
-            if not removed[i] and self.tags[i] in _BLOCK and 0 < size[i] <= MOST_TEXT * whole and not (self.inside[i] and self.tags[i] in _PROSE)
+            if not removed[i] and self.tags[i] in _BLOCK and size[i] and not (self.inside[i] and self.tags[i] in _PROSE)
         ]
 
     def text(self, removed: list[bool], templates=frozenset()) -> str:
         if templates:
             removed = list(removed)
-            for i, h in self.subtrees(removed):
+            for i, h, _ in self.subtrees(removed):
                 if h in templates:
                     removed[i] = True
             for i in range(1, len(removed)):
@@ -201,25 +203,40 @@ def _host(url: Column) -> Column:
 def host_templates(rows: DataFrame) -> DataFrame:
     """(host, hash): subtrees that recur across many pages of a host; ``rows`` (host, html).
 
-    A page counts once per subtree, and counts are partly summed before they are shuffled. At most
-    1 / LEAST_SHARE times the subtrees of one page can be templates of a host.
+    A page counts once per subtree, and counts are partly summed before they are shuffled. A host can
+    have any number of templates.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
-                hosts, hashes = [], []
+                hosts, hashes, wide = [], [], []
                 for host, html in zip(batch.column(0)[lo : lo + 512].to_pylist(), batch.column(1)[lo : lo + 512], strict=True):
                     page = Page(html.as_py() or "")
-                    found = {h for _, h in page.subtrees(page.removed())}
-                    hosts += [host] * (len(found) + 1)
-                    hashes += [None, *found]  # null: the page itself
-                yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.int64()), pa.array(hashes, pa.int64())], names=["host", "hash"])
+                    found: dict[int, bool] = {}
+                    for _, h, most in page.subtrees(page.removed()):
+                        found[h] = found.get(h, False) or most
+                    hosts += [host] * len(found)
+                    hashes += found
+                    wide += found.values()
+                yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.int64()), pa.array(hashes, pa.int64()), pa.array(wide, pa.bool_())], names=["host", "hash", "wide"])
+
+    counts = rows.select("host", "html").mapInArrow(run, "host long, hash long, wide boolean").groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n"), F.count_if("wide").alias("wide"))
+    return counts.where((F.col("n") >= LEAST_PAGES) & (F.col("wide") * 2 <= F.col("n"))).select("host", "hash")
+
 
-    counts = rows.select("host", "html").mapInArrow(run, "host long, hash long").groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n"))
-    many = counts.where(F.col("hash").isNotNull() & (F.col("n") >= LEAST_PAGES))
-    pages = counts.where("hash is null").select("host", F.col("n").alias("pages"))
-    return many.join(pages, "host").where(F.col("n") >= F.col("pages") * LEAST_SHARE).select("host", "hash")
+def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, host, hash) of the subtrees of pages (row, host, html)."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 512):
+            part = batch.slice(lo, 512)
+            out: tuple[list, list, list] = ([], [], [])
+            for row, host, html in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2), strict=True):
+                page = Page(html.as_py() or "")
+                for h in {h for _, h, _ in page.subtrees(page.removed())}:
+                    for values, value in zip(out, (row, host, h), strict=True):
+                        values.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["row", "host", "hash"])
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -229,8 +246,8 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     a page loses the subtrees that recur over its host. Inside an article the paragraphs, headings
     and list items stay, since articles quote each other. Null and empty pages have an empty text; pages
     without a host (null or odd urls) form one host; repeated rows count as pages of their own; other
-    columns are ignored. The templates are broadcast up to ``broadcast_rows`` rows and joined by
-    host beyond that.
+    columns are ignored. The templates are broadcast up to ``broadcast_rows`` rows; beyond that
+    each page is joined with those it holds, so no row carries all templates of a hot host.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), _host(F.col(url_col)).alias("host"))
     templates = host_templates(rows)
@@ -244,8 +261,10 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
         source = rows.select("page_id", "url", "html", "host", F.lit(None).cast("array<long>").alias("templates"))
     else:
         known = None
-        listed = templates.groupBy("host").agg(F.collect_list("hash").alias("templates"))
-        source = rows.join(listed, "host", "left").select("page_id", "url", "html", "host", "templates")
+        rows = cut(rows.withColumn("row", F.monotonically_increasing_id()), "pages")
+        held = rows.select("row", "host", "html").mapInArrow(_held, "row long, host long, hash long")
+        listed = held.join(templates, ["host", "hash"], "left_semi").groupBy("row").agg(F.collect_list("hash").alias("templates"))
+        source = rows.join(listed, "row", "left").select("page_id", "url", "html", "host", "templates")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

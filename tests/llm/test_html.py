@@ -43,3 +43,16 @@ def test_templates_of_a_host_go_and_content_stays(spark):
     assert got[605].text == "The same long page"
     assert (got[None].text, got[901].text, got[902].text) == ("", "", "lone")
     assert h.main_text(df.limit(0)).collect() == []
+
+
+def test_templates_of_a_hot_host_and_on_short_pages(spark):
+    box = "<div class=box><p>Only this section carries the box</p></div>"
+    page = "<body>{1}<div><p>Text {0} of page {0}, long enough to be more than a half</p></div></body>"
+    hot = [(i, "http://hot.example/", page.format(i, box if i % 20 == 0 else "")) for i in range(400)]
+    hot.append((400, "http://hot.example/", f"<body>{box}<div><p>Short</p></div></body>"))
+    content = [(1000 + i, "http://d.example/", f"<body><div><p>The same story on most pages of this host</p></div><div><p>{i}</p></div></body>") for i in range(20)]
+    df = spark.createDataFrame(hot + content, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in h.main_text(df).collect()}
+    assert got == {r.page_id: r.text for r in h.main_text(df, broadcast_rows=0).collect()}
+    assert got[20] == "Text 20 of page 20, long enough to be more than a half" and got[400] == "Short"
+    assert got[1003] == "The same story on most pages of this host\n3"
