@@ -52,6 +52,55 @@ def _join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view.answer.select("event_id", "user_id", "c_name")
 
 
+_PEOPLE = "(SELECT c_custkey AS user_id, c_name FROM customer WHERE c_custkey % 3 <> 0)"
+
+
+def _changed(spark: SparkSession, sf_dir: str) -> tuple[V.Epochs, DataFrame, DataFrame]:
+    epochs, later = _epochs(spark, sf_dir)
+    epochs.declare("events", epochs.read("events"), ["event_id"])
+    people = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), "c_name")
+    epochs.declare("people", people, ["user_id"])
+    return epochs, later, people
+
+
+def _kept_join(how: str, columns: list[str]):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        epochs, later, people = _changed(spark, sf_dir)
+        view = V.KeyedJoinView(epochs, "events", "people", ["user_id"], how, ["event_id"])
+        epochs.refresh(append={"events": later}, delete={"people": people.where("user_id % 3 = 0")})
+        view.update()
+        return view.answer.select(*columns)
+
+    return run
+
+
+query("view_left_join", f"SELECT e.event_id, e.user_id, c.c_name FROM events e LEFT JOIN {_PEOPLE} c USING (user_id)")(_kept_join("left", ["event_id", "user_id", "c_name"]))
+query("view_semi_join", f"SELECT event_id, user_id FROM events e WHERE user_id IN (SELECT user_id FROM {_PEOPLE})")(_kept_join("left_semi", ["event_id", "user_id"]))
+query("view_anti_join", f"SELECT event_id, user_id FROM events e WHERE user_id NOT IN (SELECT user_id FROM {_PEOPLE})")(_kept_join("left_anti", ["event_id", "user_id"]))
+
+
+@query("view_delete", "SELECT user_id, count(*) AS n, avg(CAST(round(value * 100) AS bigint)) AS mean, count(DISTINCT event_type) AS kinds FROM events WHERE event_type <> 'click' OR event_id % 2 = 0 GROUP BY user_id")
+def _delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    epochs, later, _ = _changed(spark, sf_dir)
+    aggregates = lambda: [F.count("*").alias("n"), F.avg("cents").alias("mean"), F.count_distinct("event_type").alias("kinds")]
+    view = V.ChangingAggregateView(epochs, "events", ["user_id"], aggregates)
+    epochs.refresh(append={"events": later})
+    epochs.refresh(delete={"events": epochs.read("events").where("event_type = 'click' AND event_id % 2 = 1")})
+    view.update()
+    return view.answer
+
+
+@query("view_union", "SELECT event_id, 'big' AS kind FROM events WHERE value > 50 UNION ALL SELECT event_id, event_type AS kind FROM events WHERE event_type = 'purchase'")
+def _union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    epochs, later = _epochs(spark, sf_dir)
+    big = lambda d: d.where("value > 50").select("event_id", F.lit("big").alias("kind"))
+    bought = lambda d: d.where("event_type = 'purchase'").select("event_id", F.col("event_type").alias("kind"))
+    view = V.RowView(epochs, [("events", big), ("events", bought)], ["event_id", "kind"])
+    epochs.refresh(append={"events": later})
+    view.update()
+    return view.answer
+
+
 @query("view_topn", "SELECT event_id, value FROM events ORDER BY value DESC, event_id LIMIT 15")
 def _top(spark: SparkSession, sf_dir: str) -> DataFrame:
     epochs, later = _epochs(spark, sf_dir)

@@ -7,12 +7,14 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import Refused
 from ..plans import sqlfront
 from ..sources.adopt import adopt
+from .trace import Trace
 
 FULL, MASKED, AGGREGATE_ONLY, NONE, TEST = "FULL", "MASKED", "AGGREGATE_ONLY", "NONE", "TEST"
 
@@ -53,6 +55,11 @@ class ColumnPolicy:
     aggregates: tuple[str, ...] = ("count", "sum", "avg")
     disclose: bool = False
 
+    @property
+    def population(self) -> bool:
+        """Whether any row shows the column to aggregates only: then statements may ask for no more."""
+        return AGGREGATE_ONLY in (self.otherwise, *(r.level for r in self.rules))
+
 
 @dataclass(frozen=True)
 class TablePolicy:
@@ -144,22 +151,24 @@ class Entitled:
                 adopt(self.spark, df).createOrReplaceTempView(n)
 
     def population(self) -> dict[str, ColumnPolicy]:
-        return {c: p for t in self.policies.values() for c, p in t.columns.items() if p.otherwise == AGGREGATE_ONLY}
+        return {c: p for t in self.policies.values() for c, p in t.columns.items() if p.population}
 
     def prepare(self, sql: str) -> str:
-        """The text that runs: population-only columns only bare in allowed aggregates, behind floors."""
+        """The text that runs: population-only columns in allowed aggregates stand behind floors."""
         return guard(sql, self.population())
 
     def query(self, sql: str, params: object = None) -> DataFrame:
-        found = [t for t in sqlfront.tokens(sql)]
-        names = {n.lower() for n in self.visible}
-        ctes = {found[i].text.lower() for i in range(len(found) - 1) if found[i].kind == "word" and found[i + 1].word == "AS"}
-        for i, t in enumerate(found[:-1]):
-            if t.word in ("FROM", "JOIN") and found[i + 1].kind in ("word", "quoted") and found[i + 1].word not in ("LATERAL", "SELECT"):
-                name = found[i + 1].text.strip('"').lower()
-                if name not in names | ctes or (i + 2 < len(found) and found[i + 2].text == "."):
-                    raise Refused("the statement names a relation that is not there")
-        return self.spark.sql(sqlfront.rewrite(self.prepare(self._lift_tests(sql)), params))
+        """The statement over the visible tables. What it reads and shows is decided on its analysed plan."""
+        text = sqlfront.rewrite(self.prepare(self._lift_tests(sql)), params)
+        try:
+            df = self.spark.sql(text)
+        except AnalysisException as e:
+            if e.getCondition() == "TABLE_OR_VIEW_NOT_FOUND":
+                raise Refused("the statement names a relation that is not there") from None
+            raise
+        columns = {t: {c: (cp.floor, cp.aggregates) for c, cp in p.columns.items() if cp.population} for t, p in self.policies.items()}
+        Trace(set(self.visible), columns).check(df)
+        return df
 
     def _lift_tests(self, sql: str) -> str:
         """Comparisons of test-only columns with constants become booleans computed in the leaf.
@@ -202,9 +211,11 @@ class Entitled:
 
 
 def guard(sql: str, columns: dict[str, ColumnPolicy]) -> str:
-    """Refuse every use of a population-only column but ``aggregate(column)``, and floor those.
+    """Put allowed aggregates of population-only columns behind their floors.
 
     The guard carries the same FILTER clause, so the group it counts is the one that is aggregated.
+    This only writes the floors: that none is missing, and that the values go nowhere else, is checked
+    on the analysed plan (:mod:`trace`).
     """
     if not columns:
         return sql
@@ -233,10 +244,6 @@ def guard(sql: str, columns: dict[str, ColumnPolicy]) -> str:
             out.append(f"CASE WHEN count({col}){tail} >= {p.floor} THEN {t.text}({col}){tail} END")
             i = end
             continue
-        if t.kind in ("word", "quoted") and t.text.strip('"').lower() in lowered:
-            raise Refused("a population-only column is used outside an allowed aggregate")
-        if t.text == "*" and i and found[i - 1].word in ("SELECT", "DISTINCT") or (t.text == "*" and i and found[i - 1].text == "."):
-            raise Refused("a star would show a population-only column")
         out.append(t.text)
         i += 1
     return sqlfront.text_of([sqlfront.Token("raw", x) for x in out])

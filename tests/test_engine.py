@@ -215,3 +215,46 @@ def test_federation_limits(spark):
     parts = PartitionedTable("p", {v: (lambda v=v: opened.append(v) or spark.range(v)) for v in (1, 2, 3)})
     assert parts.scan([3]).count() == 3 and opened == [3] and parts.scan([9]).count() == 0
     assert parquet_source("x", lambda: left, Capabilities(in_size=3)).scan({"k": []}).count() == 0
+
+
+def test_views_keep_null_keys_and_every_kind_of_change(spark):
+    from sparkveil.streaming import views as V
+
+    epochs = V.Epochs(spark)
+    schema = "k int, id int, x int"
+    epochs.declare("a", spark.createDataFrame([(1, 1, 10), (None, 2, 20), (2, 3, 30)], schema), ["id"])
+    epochs.declare("b", spark.createDataFrame([(1, "one"), (3, "three")], "k int, name string"), ["k"])
+    groups = V.GroupView(epochs, lambda t: t["a"].groupBy("k").agg(F.count("*").alias("n")), ["a"], ["k"], ["k"])
+    averages = V.ChangingAggregateView(epochs, "a", ["k"], lambda: [F.avg("x").alias("m"), F.count_distinct("x").alias("d")])
+    joins = {how: V.KeyedJoinView(epochs, "a", "b", ["k"], how, ["id"]) for how in ("inner", "left", "full", "left_semi", "left_anti")}
+    union = V.RowView(epochs, [("a", lambda d: d.where("x > 10").select("id")), ("a", lambda d: d.where("x < 30").select("id"))], ["id"])
+    epochs.refresh(append={"a": spark.createDataFrame([(None, 4, 40), (1, 5, 50)], schema)})
+    groups.update(), union.update()
+    assert sorted(map(tuple, groups.answer.collect()), key=str) == sorted([(1, 2), (None, 2), (2, 1)], key=str)
+    assert sorted(r.id for r in union.answer.collect()) == [1, 2, 2, 3, 4, 5]
+    changes = [
+        dict(delete={"a": spark.createDataFrame([(5,), (2,)], "id int")}, upsert={"b": spark.createDataFrame([(2, "two")], "k int, name string")}),
+        dict(upsert={"a": spark.createDataFrame([(3, 1, 11)], schema)}),
+        dict(delete={"b": spark.createDataFrame([(3,), (1,)], "k int")}),
+    ]
+    for change in changes:
+        epochs.refresh(**change)
+        averages.update()
+        a, b = epochs.read("a"), epochs.read("b")
+        want = a.groupBy("k").agg(F.avg("x").alias("m"), F.count_distinct("x").alias("d"))
+        assert sorted(map(tuple, averages.answer.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+        for how, view in joins.items():
+            view.update()
+            assert sorted(map(tuple, view.answer.collect()), key=str) == sorted(map(tuple, a.join(b, ["k"], how).collect()), key=str), how
+
+
+def test_a_batch_counts_once_and_a_restart_goes_on(spark):
+    from sparkveil.streaming import views as V
+
+    epochs = V.Epochs(spark)
+    epochs.declare("a", spark.createDataFrame([(1,)], "k int"), ["k"])
+    new = spark.createDataFrame([(2,)], "k int")
+    assert epochs.refresh(append={"a": new}, batch=("s", 0)) == epochs.refresh(append={"a": new}, batch=("s", 0)) == 1
+    again = V.Epochs.open(spark, epochs.folder)
+    assert again.refresh(append={"a": new}, batch=("s", 0)) == 1 and again.refresh(append={"a": new}, batch=("s", 1)) == 2
+    assert sorted(r.k for r in again.read("a").collect()) == [1, 2, 2]
