@@ -61,26 +61,36 @@ def _render(content: Column) -> Column:
     return F.when(same, light).otherwise(F.concat(F.lit("\u0001"), _armour(content)))
 
 
+def _pieces(said: Column, write) -> Column:
+    """array<struct<role,head,body>> of the turns, their contents written by ``write``."""
+    return F.transform(said, lambda t: F.struct(t["role"].alias("role"), F.concat(F.lit(OPEN), write(t["role"]), F.lit(TEXT)).alias("head"), write(t["text"]).alias("body")))
+
+
+def _joined(pieces: Column) -> Column:
+    return F.array_join(F.transform(pieces, lambda p: F.concat(p["head"], p["body"], F.lit(END + CLOSE))), "")
+
+
 def format_conversations(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """(conv_id, formatted, turns, mask): one row per conversation, turns in order.
 
-    turns: array<struct<role,text>> as read back from ``formatted`` by :func:`parse`; mask: spans of
-    ``formatted`` (code points, end exclusive) whose tokens carry loss, the assistant texts. Null texts
-    and roles are empty; a null turn comes first; rows that repeat a turn are all kept, by role, then
-    text; rows of a null conversation form one. Other columns are ignored. The turns of one
-    conversation meet in one row, because its formatted text is one value.
+    The rendered conversation is parsed again and its turns compared with the source: first with the
+    light escape, then with armour for the contents that do not come back, then with armour
+    for all, until both are identical. turns: array<struct<role,text>> as read back from ``formatted`` by
+    :func:`parse`; mask: spans of ``formatted`` (code points, end exclusive) whose tokens carry loss, the
+    assistant texts. Null texts and roles are empty; a null turn comes first; rows that repeat a turn are
+    all kept, by role, then text; rows of a null conversation form one. Other columns are ignored. The
+    turns of one conversation meet in one row, because its formatted text is one value.
     """
     rows = turns.select(
         F.col(conv).cast("long").alias("conv_id"), F.col(turn).cast("long").alias("turn"),
         F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"),
     )
-    piece = F.struct(
-        F.col("turn").isNotNull().alias("has_turn"), "turn", "role", "text",
-        F.concat(F.lit(OPEN), _render(F.col("role")), F.lit(TEXT)).alias("head"), _render(F.col("text")).alias("body"),
-    )
-    tail = F.lit(END + CLOSE)
+    piece = F.struct(F.col("turn").isNotNull().alias("has_turn"), "turn", "role", "text")
     grouped = rows.select("conv_id", piece.alias("p")).groupBy("conv_id").agg(F.array_sort(F.collect_list("p")).alias("ps"))
-    formatted = F.array_join(F.transform("ps", lambda p: F.concat(p["head"], p["body"], tail)), "")
+    said = grouped.select("conv_id", F.transform("ps", lambda p: F.struct(p["role"].alias("role"), p["text"].alias("text"))).alias("said"))
+    light, careful, armoured = (_pieces(F.col("said"), write) for write in (escape, _render, lambda c: F.concat(F.lit("\u0001"), _armour(c))))
+    same = lambda pieces: parse(_joined(pieces)).eqNullSafe(F.col("said"))
+    chosen = said.select("conv_id", F.when(same(light), light).when(same(careful), careful).otherwise(armoured).alias("pieces"))
     grow = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("out"))
 
     def mark(acc: Column, p: Column) -> Column:
@@ -89,7 +99,7 @@ def format_conversations(turns: DataFrame, conv: str = "conv_id", turn: str = "t
         span = F.array(F.struct(start.alias("start"), end.alias("end")))
         return F.struct((end + len(END + CLOSE)).alias("at"), F.when(p["role"] == "assistant", F.concat(acc["out"], span)).otherwise(acc["out"]).alias("out"))
 
-    made = grouped.select("conv_id", formatted.alias("formatted"), F.aggregate("ps", grow, mark, lambda acc: acc["out"]).alias("mask"))
+    made = chosen.select("conv_id", _joined(F.col("pieces")).alias("formatted"), F.aggregate("pieces", grow, mark, lambda acc: acc["out"]).alias("mask"))
     return made.withColumn("turns", parse(F.col("formatted")))
 
 
@@ -107,7 +117,8 @@ def with_probe(turns: DataFrame) -> DataFrame:
 def digests(formatted: DataFrame) -> DataFrame:
     """(conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars) read from the output."""
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    loss = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: t["text"]), "")
+    masked = lambda m: F.substr(F.col("formatted"), (m["start"] + 1).cast("int"), (m["end"] - m["start"]).cast("int"))
+    loss = F.array_join(F.transform("mask", lambda m: _content(masked(m))), "")
     read = formatted.select("conv_id", F.size("turns").cast("long").alias("n_turns"), said.alias("said"), loss.alias("loss"), F.length("formatted").cast("long").alias("formatted_chars"))
     return read.select(
         "conv_id", "n_turns", F.sha2("said", 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars"

@@ -57,6 +57,7 @@ class Page:
     def __init__(self, html: str):
         self.tags, self.parents, self.attrs = ["#root"], [0], [{}]
         self.events: list[tuple[int, str | None]] = []  # (element, text) or (element, None) at a block edge
+        self.open: dict[str, list[int]] = {}  # places in the stack of each open tag
         self._read(html)
 
     def _read(self, html: str) -> None:
@@ -99,19 +100,27 @@ class Page:
                 close = html.find(">", stop)
                 at = n if close < 0 else close + 1
                 continue
+            self.open.setdefault(tag, []).append(len(stack))
             stack.append(me)
 
     def _close(self, stack: list[int], tag: str, scope: tuple[str, ...] = ()) -> None:
-        tags = self.tags
-        for k in range(len(stack) - 1, 0, -1):
-            name = tags[stack[k]]
-            if name == tag:
-                if any(tags[i] in _BLOCK for i in stack[k:]):
-                    self.events.append((stack[k - 1], None))
-                del stack[k:]
-                return
-            if name in scope or (name in ("article", "main", "body", "table") and tag not in _BLOCK):
+        """Close the innermost open ``tag`` and all within it, unless an element of its scope lies between.
+
+        The places of open tags are known, so this costs no more than the elements that it closes.
+        """
+        places = self.open.get(tag)
+        if not places:
+            return
+        k = places[-1]
+        for other in scope if tag in _BLOCK else (*scope, "article", "main", "body", "table"):
+            if other != tag and (found := self.open.get(other)) and found[-1] > k:
                 return
+        tags = self.tags
+        if any(tags[i] in _BLOCK for i in stack[k:]):
+            self.events.append((stack[k - 1], None))
+        for i in stack[k:]:
+            self.open[tags[i]].pop()
+        del stack[k:]
 
     def removed(self) -> list[bool]:
         """Which elements the markup itself rules out, with all below them."""
@@ -150,38 +159,45 @@ class Page:
                 return out
         return [True] * len(self.tags)
 
-    def subtrees(self, removed: list[bool]) -> list[tuple[int, int, bool]]:
-        """(element, hash, whether it is over MOST_TEXT of the page) of the block subtrees that may be templates."""
+    def subtrees(self) -> list[tuple[int, int, bool]]:
+        """(element, hash, whether it is over MOST_TEXT of the page) of the block subtrees that may be templates.
+
+        Hashes cover whole subtrees, before any rule of the markup is asked. Only the last value looks at
+        the rules: what they take out anyway is no content, however much of the page it is.
+        """
         n = len(self.tags)
+        ruled_out = self.removed()
         parts: list[list[bytes]] = [[f"{t}|{a.get('class', '')}|{a.get('id', '')}".encode()] for t, a in zip(self.tags, self.attrs, strict=True)]
-        size = [0] * n
+        size, shown = [0] * n, [0] * n
         for k, text in self.events:
-            if text is not None and not removed[k]:
+            if text is not None:
                 words = " ".join(text.split())
                 if words:
-                    parts[k].append(words.encode())
+                    parts[k].append(words.encode("utf-8", "surrogatepass"))
                     size[k] += len(words)
+                    shown[k] += 0 if ruled_out[k] else len(words)
         hashes = [0] * n
         for i in range(n - 1, 0, -1):
             hashes[i] = xxhash.xxh64_intdigest(b"\x00".join(parts[i]), 0) - (1 << 63)
-            if not removed[i]:
-                parts[self.parents[i]].append(hashes[i].to_bytes(8, "little", signed=True))
-                size[self.parents[i]] += size[i]
-        whole = size[0]
+            up = self.parents[i]
+            parts[up].append(hashes[i].to_bytes(8, "little", signed=True))
+            size[up] += size[i]
+            shown[up] += shown[i]
         return [
-            (i, hashes[i], size[i] > MOST_TEXT * whole)
+            (i, hashes[i], shown[i] > MOST_TEXT * shown[0])
             for i in range(1, n)
-            if not removed[i] and self.tags[i] in _BLOCK and size[i] and not (self.inside[i] and self.tags[i] in _PROSE)
+            if self.tags[i] in _BLOCK and size[i] and not (self.inside[i] and self.tags[i] in _PROSE)
         ]
 
-    def text(self, removed: list[bool], templates=frozenset()) -> str:
+    def text(self, ruled_out: list[bool], templates=frozenset()) -> str:
+        """The main text: subtrees that are templates go first, then what the markup rules out."""
+        out = [False] * len(self.tags)
         if templates:
-            removed = list(removed)
-            for i, h, _ in self.subtrees(removed):
-                if h in templates:
-                    removed[i] = True
-            for i in range(1, len(removed)):
-                removed[i] = removed[i] or removed[self.parents[i]]
+            for i, h, _ in self.subtrees():
+                out[i] = h in templates
+        removed = [a or b for a, b in zip(out, ruled_out, strict=True)]
+        for i in range(1, len(removed)):
+            removed[i] = removed[i] or removed[self.parents[i]]
         keep = self.content(removed)
         blocks: list[str] = []
         line: list[str] = []
@@ -214,7 +230,7 @@ def host_templates(rows: DataFrame) -> DataFrame:
                 for host, html in zip(batch.column(0)[lo : lo + 512].to_pylist(), batch.column(1)[lo : lo + 512], strict=True):
                     page = Page(html.as_py() or "")
                     found: dict[int, bool] = {}
-                    for _, h, most in page.subtrees(page.removed()):
+                    for _, h, most in page.subtrees():
                         found[h] = found.get(h, False) or most
                     hosts += [host] * len(found)
                     hashes += found
@@ -233,7 +249,7 @@ def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out: tuple[list, list, list] = ([], [], [])
             for row, host, html in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2), strict=True):
                 page = Page(html.as_py() or "")
-                for h in {h for _, h, _ in page.subtrees(page.removed())}:
+                for h in {h for _, h, _ in page.subtrees()}:
                     for values, value in zip(out, (row, host, h), strict=True):
                         values.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["row", "host", "hash"])
@@ -242,15 +258,15 @@ def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """(page_id, url, text, n_chars): one row per row of ``pages``.
 
-    The markup rules take out what names itself as something else than the article; what is left of
-    a page loses the subtrees that recur over its host. Inside an article the paragraphs, headings
-    and list items stay, since articles quote each other. Null and empty pages have an empty text; pages
+    A page loses the subtrees that recur over its host, hashed before any rule is asked; of what is left,
+    the markup rules take out what names itself as something else than the article. Inside an article the
+    paragraphs, headings and list items are no templates, since articles quote each other. Null and empty pages have an empty text; pages
     without a host (null or odd urls) form one host; repeated rows count as pages of their own; other
     columns are ignored. The templates are broadcast up to ``broadcast_rows`` rows; beyond that
     each page is joined with those it holds, so no row carries all templates of a hot host.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), _host(F.col(url_col)).alias("host"))
-    templates = host_templates(rows)
+    templates = cut(host_templates(rows), "templates")
     first = templates.limit(broadcast_rows + 1).collect()
     schema = "page_id long, url string, text string, n_chars long"
     if len(first) <= broadcast_rows:

@@ -14,8 +14,8 @@ KINDS = ("assign", "access", "hex", "random")
 # The patterns that the contract names.
 ASSIGN_HEAD = r"""(?:(?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?"""
 ASSIGN_VALUE = r"[A-Za-z0-9+/_.=-]+"
-ACCESS = r"AKIA[A-Z0-9]+"
-HEX = r"[0-9a-f]+"
+ACCESS = r"AKIA[A-Z0-9]{12,}"  # 16 or more in all: a run of these letters matches once or not at all
+HEX = r"[0-9a-f]{32,}"
 
 #: Candidates of the battery: maximal runs of 20 or more code symbols with a digit, and padding.
 CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{20,}={0,2}"
@@ -32,27 +32,44 @@ ENCODINGS = (
 )
 #: Chance that two symbols of written text are equal.
 TEXT_COLLISION = 0.065
-#: Largest |z| of the runs and serial-correlation tests that a random token may show.
-MOST_Z = 3.0
-#: Share of false discoveries allowed in each length class.
+#: Share of false discoveries allowed in each length class, of tokens that are not written text and of
+#: tokens that are not random.
 FALSE_SHARE = 0.01
 LENGTH_CLASSES, P_BINS, BINS_PER_NAT = 8, 600, 8
+#: The same bins for the battery, whose p-values are not looked at below exp(-R_BINS / R_PER_NAT).
+R_BINS, R_PER_NAT = 100, 4
+#: Matches whose ends are summed together, see _matches.
+BLOCK = 256
+
+
+def _let(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once, however often ``use`` names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def _matches(text: Column, pattern: str, gate: Column, keep=None) -> Column:
     """array<struct<start,end,value>> of the leftmost non-overlapping matches, in code points.
 
-    ``\\G`` with a lazy gap makes every match carry the text before it, so ends are running sums.
+    ``\\G`` with a lazy gap makes every match carry the text before it, so ends are running sums. They are
+    summed in blocks, then the blocks, so that very many matches of a text cost little more than each.
     """
     anchored = rf"\G((?s:.*?))({pattern})"
-    whole = F.regexp_extract_all(text, F.lit(anchored), F.lit(0))
+    sizes = F.transform(F.regexp_extract_all(text, F.lit(anchored), F.lit(0)), F.length)
     value = F.regexp_extract_all(text, F.lit(anchored), F.lit(2))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("ends"))
-    ends = F.aggregate(
-        F.transform(whole, F.length), start,
-        lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["ends"], F.array(acc["at"] + n)).alias("ends")),
-        lambda acc: acc["ends"],
-    )
+
+    def running(values: Column, first: Column) -> Column:
+        begin = F.struct(first.alias("at"), F.array().cast("array<int>").alias("ends"))
+        return F.aggregate(values, begin, lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["ends"], F.array(acc["at"] + n)).alias("ends")), lambda acc: acc["ends"])
+
+    def blocked(sizes: Column) -> Column:
+        places = F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / BLOCK).cast("int"))
+        return _let(F.transform(places, lambda b: F.slice(sizes, b * BLOCK + 1, F.lit(BLOCK))), summed)
+
+    def summed(blocks: Column) -> Column:
+        totals = F.concat(F.array(F.lit(0)), running(F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda x, n: x + n)), F.lit(0)))
+        return F.flatten(F.zip_with(blocks, F.slice(totals, F.lit(1), F.size(blocks)), lambda b, t: running(b, t)))
+
+    ends = _let(sizes, lambda s: F.when(F.size(s) == 0, s).when(F.size(s) <= BLOCK, running(s, F.lit(0))).otherwise(blocked(s)))
     found = F.zip_with(ends, value, lambda e, v: F.struct((e - F.length(v)).alias("start"), e.alias("end"), v.alias("value")))
     if keep is not None:
         found = F.filter(found, lambda m: keep(m["value"]))
@@ -79,46 +96,62 @@ def _tagged(matches: Column, kind: int) -> Column:
 
 def normal_cdf(z: Column) -> Column:
     """Phi(z) by a logistic form that is within 0.0002 in the middle and exact enough in the tails."""
-    x = F.abs(z)
-    tail = F.exp(-x * x / 2) / (F.lit(math.sqrt(2 * math.pi)) * (F.lit(0.661) * x + F.lit(0.339) * F.sqrt(x * x + 5.51)))
-    return F.when(z < 0, tail).otherwise(1 - tail)
+    def two(x: Column) -> Column:
+        tail = F.exp(-x * x / 2) / (F.lit(math.sqrt(2 * math.pi)) * (F.lit(0.661) * F.abs(x) + F.lit(0.339) * F.sqrt(x * x + 5.51)))
+        return F.when(x < 0, tail).otherwise(1 - tail)
+
+    return _let(z, two)
 
 
 def _battery(value: Column) -> Column:
-    """struct<n, p, sound> of a token.
+    """struct<n, p, r> of a token.
 
-    p: chance of so even an alphabet under the null hypothesis of written or patterned text, from the
-    chi-squared sum of squared symbol counts. It falls with the length, so a short token cannot
-    pass on little evidence. sound: the runs test (above and below the middle of the alphabet) and the
-    lag-one serial correlation don't contradict a random token.
+    p: chance of so even an alphabet if the token were written or patterned text, from the sum of squared
+    symbol counts. It falls with the length, so a short token cannot pass on little evidence. r: chance
+    of so odd a token if it were random. It joins, by Fisher's method, three tests over the inferred
+    encoding: chi-squared uniformity of its alphabet, runs above and below the middle of it, and lag-one
+    serial correlation.
     """
-    body = F.regexp_replace(value, "=+$", "")
-    alphabet: Column = F.lit(ENCODINGS[-1][1].replace("+/", "+/-_"))
-    for _, letters in reversed(ENCODINGS[:-1]):
-        alphabet = F.when(body.rlike(f"^[{letters}]+$"), F.lit(letters)).otherwise(alphabet)
-    k = F.least(F.length(alphabet), F.lit(64)).cast("double")
-    n = F.length(body).cast("double")
-    symbols = F.split(body, "")
-    squares = F.aggregate(
-        F.array_distinct(symbols), F.lit(0.0), lambda acc, c: acc + F.pow((F.length(body) - F.length(F.replace(body, c, F.lit("")))).cast("double"), F.lit(2.0))
-    )
-    rate = F.greatest(F.lit(TEXT_COLLISION), 2 / k)
-    z = (squares - n - n * (n - 1) * rate) / F.sqrt(2 * n * n * rate)
-    values = F.transform(symbols, lambda c: F.instr(alphabet, c).cast("double"))
-    first, rest = F.slice(values, 1, F.size(values) - 1), F.slice(values, 2, F.size(values) - 1)
-    total = F.aggregate(values, F.lit(0.0), lambda acc, v: acc + v)
-    mean = total / n
-    spread = F.aggregate(values, F.lit(0.0), lambda acc, v: acc + (v - mean) * (v - mean))
-    lagged = F.aggregate(F.zip_with(first, rest, lambda a, b: (a - mean) * (b - mean)), F.lit(0.0), lambda acc, v: acc + v)
-    serial = F.when(spread > 0, lagged / spread * F.sqrt(n)).otherwise(F.lit(99.0))
-    high = F.aggregate(values, F.lit(0.0), lambda acc, v: acc + F.when(v > k / 2, 1.0).otherwise(0.0))
-    low = n - high
-    runs = 1 + F.aggregate(F.zip_with(first, rest, lambda a, b: F.when((a > k / 2) != (b > k / 2), 1.0).otherwise(0.0)), F.lit(0.0), lambda acc, v: acc + v)
-    expected = 2 * high * low / n + 1
-    variance = (expected - 1) * (expected - 2) / (n - 1)
-    run_z = F.when(variance > 0, (runs - expected) / F.sqrt(variance)).otherwise(F.lit(99.0))
-    sound = (F.abs(serial) <= MOST_Z) & (F.abs(run_z) <= MOST_Z)
-    return F.struct(n.cast("int").alias("n"), normal_cdf(z).alias("p"), sound.alias("sound"))
+
+    def alphabet(body: Column) -> Column:
+        found: Column = F.lit(ENCODINGS[-1][1].replace("+/", "+/-_"))
+        for _, letters in reversed(ENCODINGS[:-1]):
+            found = F.when(body.rlike(f"^[{letters}]+$"), F.lit(letters)).otherwise(found)
+        return found
+
+    add = lambda values: F.aggregate(values, F.lit(0.0), lambda acc, v: acc + v)
+
+    def counted(body: Column) -> Column:
+        return _let(alphabet(body), lambda letters: _let(F.transform(F.split(body, ""), lambda c: F.instr(letters, c).cast("double")), lambda values: figures(body, letters, values)))
+
+    def figures(body: Column, letters: Column, values: Column) -> Column:
+        k, n = F.least(F.length(letters), F.lit(64)).cast("double"), F.size(values).cast("double")
+        each = lambda c: F.pow((F.length(body) - F.length(F.replace(body, c, F.lit("")))).cast("double"), F.lit(2.0))
+        squares = add(F.transform(F.array_distinct(F.split(body, "")), each))
+        high = add(F.transform(values, lambda v: F.when(v > k / 2, 1.0).otherwise(0.0)))
+        first, rest = F.slice(values, 1, F.size(values) - 1), F.slice(values, 2, F.size(values) - 1)
+        runs = 1 + add(F.zip_with(first, rest, lambda a, b: F.when((a > k / 2) != (b > k / 2), 1.0).otherwise(0.0)))
+        spread = lambda mean: add(F.transform(values, lambda v: (v - mean) * (v - mean)))
+        lagged = lambda mean: add(F.zip_with(first, rest, lambda a, b: (a - mean) * (b - mean)))
+        serial = _let(add(values) / n, lambda mean: _let(spread(mean), lambda s: F.when(s > 0, lagged(mean) / s * F.sqrt(n)).otherwise(F.lit(99.0))))
+        return F.struct(k.alias("k"), n.alias("n"), squares.alias("squares"), high.alias("high"), runs.alias("runs"), serial.alias("serial"))
+
+    def tested(f: Column) -> Column:
+        n, k, high = f["n"], f["k"], f["high"]
+        rate = F.greatest(F.lit(TEXT_COLLISION), 2 / k)
+        z = (f["squares"] - n - n * (n - 1) * rate) / F.sqrt(2 * n * n * rate)
+        # chi-squared against equal shares of the alphabet, to a normal by the cube root
+        spare = 2 / (9 * (k - 1))
+        chi_z = (F.cbrt(F.greatest(f["squares"] * k / n - n, F.lit(0.0)) / (k - 1)) - (1 - spare)) / F.sqrt(spare)
+        expected = 2 * high * (n - high) / n + 1
+        variance = (expected - 1) * (expected - 2) / (n - 1)
+        run_z = F.when(variance > 0, (f["runs"] - expected) / F.sqrt(variance)).otherwise(F.lit(99.0))
+        tails = (1 - normal_cdf(chi_z), 2 * normal_cdf(-F.abs(run_z)), 2 * normal_cdf(-F.abs(f["serial"])))
+        half = sum((-F.log(F.least(F.greatest(t, F.lit(1e-300)), F.lit(1.0))) for t in tails), F.lit(0.0))
+        # half of Fisher's statistic is a sum of three exponentials: P(X > x) = e^-x (1 + x + x^2 / 2)
+        return F.struct(n.cast("int").alias("n"), normal_cdf(z).alias("p"), _let(half, lambda x: F.exp(-x) * (1 + x + x * x / 2)).alias("r"))
+
+    return _let(_let(F.regexp_replace(value, "=+$", ""), counted), tested)
 
 
 def _candidates(text: Column) -> Column:
@@ -131,40 +164,59 @@ def _class_of(n: Column) -> Column:
     return F.least(F.floor(n / 16) - 1, F.lit(LENGTH_CLASSES - 1)).cast("int")
 
 
-def _bin_of(p: Column) -> Column:
-    return F.least(F.floor(-F.log(F.greatest(p, F.lit(1e-300))) * BINS_PER_NAT), F.lit(P_BINS)).cast("int")
+def _bin_of(p: Column, per_nat: int = BINS_PER_NAT, most: int = P_BINS) -> Column:
+    return F.least(F.floor(-F.log(F.greatest(p, F.lit(1e-300))) * per_nat), F.lit(most)).cast("int")
+
+
+def _least_bin(counts: dict[int, int], per_nat: int, total: int) -> int | None:
+    """Benjamini-Hochberg over binned p-values: the smallest bin of -ln p that is discovered."""
+    seen, least = 0, None
+    for b in sorted(counts, reverse=True):
+        seen += counts[b]
+        if math.exp(-b / per_nat) <= FALSE_SHARE * seen / total:
+            least = b
+    return least
 
 
-def discovery_bins(found: DataFrame) -> dict[int, int]:
-    """Benjamini-Hochberg in each length class: the smallest bin of -ln p that is discovered.
+def discovery_bins(found: DataFrame) -> dict[int, tuple[int, int]]:
+    """Length class -> (bin of p from which a token is no text, bin of r from which it is not random).
 
-    ``found`` has a column ``candidates``. The counts are over all tokens of all documents; only a
-    histogram of at most LENGTH_CLASSES x P_BINS cells is gathered.
+    False discoveries are controlled twice in each length class: first of tokens that are not random,
+    among all; then of tokens that are not text, among the rest. ``found`` has a column ``candidates``.
+    The counts are over all tokens of all documents; only a histogram of at most LENGTH_CLASSES x P_BINS
+    x R_BINS cells is gathered.
     """
     tests = found.select(F.explode("candidates").alias("c")).select(
-        _class_of(F.col("c.test.n")).alias("length"), F.when(F.col("c.test.sound"), _bin_of(F.col("c.test.p"))).otherwise(F.lit(0)).alias("bin")
+        _class_of(F.col("c.test.n")).alias("length"), _bin_of(F.col("c.test.p")).alias("p"), _bin_of(F.col("c.test.r"), R_PER_NAT, R_BINS).alias("r")
     )
-    cells: dict[int, dict[int, int]] = {}
-    for r in tests.groupBy("length", "bin").count().collect():
-        cells.setdefault(r["length"], {})[r["bin"]] = r["count"]
+    cells: dict[int, list[tuple[int, int, int]]] = {}
+    for row in tests.groupBy("length", "p", "r").count().collect():
+        cells.setdefault(row["length"], []).append((row["p"], row["r"], row["count"]))
     least = {}
     for length, counts in cells.items():
-        total, seen = sum(counts.values()), 0
-        for b in sorted(counts, reverse=True):
-            seen += counts[b]
-            if math.exp(-b / BINS_PER_NAT) <= FALSE_SHARE * seen / total:
-                least[length] = b
+        odd: dict[int, int] = {}
+        for _, r, n in counts:
+            odd[r] = odd.get(r, 0) + n
+        bar = _least_bin(odd, R_PER_NAT, sum(odd.values()))
+        bar = R_BINS + 1 if bar is None else bar
+        even: dict[int, int] = {}
+        for p, r, n in counts:
+            if r < bar:
+                even[p] = even.get(p, 0) + n
+        if even and (text := _least_bin(even, BINS_PER_NAT, sum(even.values()))) is not None:
+            least[length] = (text, bar)
     return least
 
 
-def _spans(least: dict[int, int]) -> Column:
+def _spans(least: dict[int, tuple[int, int]]) -> Column:
     """All spans from columns ``base`` and ``candidates``: base spans, and random tokens clear of them."""
 
     def discovered(c: Column) -> Column:
-        bar = F.lit(P_BINS + 1)
-        for length, b in sorted(least.items()):
-            bar = F.when(_class_of(c["test"]["n"]) == length, F.lit(b)).otherwise(bar)
-        return c["test"]["sound"] & (_bin_of(c["test"]["p"]) >= bar)
+        text, odd = F.lit(P_BINS + 1), F.lit(0)
+        for length, (p, r) in sorted(least.items()):
+            here = _class_of(c["test"]["n"]) == length
+            text, odd = F.when(here, F.lit(p)).otherwise(text), F.when(here, F.lit(r)).otherwise(odd)
+        return (_bin_of(c["test"]["p"]) >= text) & (_bin_of(c["test"]["r"], R_PER_NAT, R_BINS) < odd)
 
     clear = lambda c: ~F.exists("base", lambda s: (s["start"] < c["end"]) & (c["start"] < s["end"]))
     extra = F.filter("candidates", lambda c: discovered(c) & clear(c))

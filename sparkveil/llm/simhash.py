@@ -37,16 +37,20 @@ def _fingerprint(text: bytes | None, width: int, seed: int) -> int:
     return int(np.packbits(2 * ones > len(values), bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, seed: int = 42) -> DataFrame:
-    """(id, fp long): the SimHash of every whole text, one row per input row."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, seed: int = 42, row: Column | None = None) -> DataFrame:
+    """(id, row long, fp long): the SimHash of every whole text, one row per input row.
+
+    ``row`` is handed on (null without it).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = [_fingerprint(t.as_py(), width, seed) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], names=["id", "fp"])
+            fps = [_fingerprint(t.as_py(), width, seed) for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.int64())], names=["id", "row", "fp"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
-    return rows.mapInArrow(run, "id long, fp long")
+    row = F.lit(None) if row is None else row
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), row.cast("long").alias("row"), F.col(text_col).cast("binary").alias("text"))
+    return rows.mapInArrow(run, "id long, row long, fp long")
 
 
 def _block(fp: Column, i: int) -> Column:
@@ -107,6 +111,15 @@ def links(nodes: DataFrame, max_bits: int = 2) -> DataFrame:
     return pairs.select("u", "v").union(starred)
 
 
+def _groups(rows: DataFrame) -> DataFrame:
+    """(fp, root, component_id): the group of every fingerprint of ``rows`` (id, fp)."""
+    nodes = rows.groupBy("fp").agg(F.min("id").alias("first"))
+    roots = connected_components(links(nodes.select("fp")))
+    named = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    names = named.groupBy("root").agg(F.min("first").alias("component_id"))
+    return cut(named.join(names, "root").select("fp", "root", "component_id"), "components")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fingerprint, component_id): one row per row of ``docs``.
 
@@ -115,26 +128,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     has a null name). Other columns of ``docs`` are ignored, whatever their names. An empty table
     gives no rows.
     """
-    rows = cut(fingerprints(docs, id_col, text_col), "fingerprints")
-    nodes = rows.groupBy("fp").agg(F.min("id").alias("first"))
-    roots = connected_components(links(nodes.select("fp")))
-    named = nodes.join(roots, nodes["fp"] == roots["node"], "left").select(
-        "fp", "first", F.coalesce("root", "fp").alias("root")
-    )
-    names = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = cut(named.join(names, "root").select("fp", "component_id"), "components")
-    return rows.join(named, "fp").select(
+    rows = cut(fingerprints(docs, id_col, text_col).select("id", "fp"), "fingerprints")
+    return rows.join(_groups(rows), "fp").select(
         F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents whose id names their component, all columns: one of each near-duplicate group.
+    """One document of each near-duplicate group, all columns: that with the smallest id.
 
-    An id stands for one document: of rows that repeat an id one stays. Rows with a null id cannot
-    be named and all stay.
+    Rows are told apart by their id and a hash of all their columns, not by the id alone: rows that
+    repeat an id with other texts are documents of their own, and of wholly equal rows one stays. A
+    null id counts as the largest.
     """
-    found = near_duplicates(docs, id_col, text_col)
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    named = docs.join(kept, docs[id_col] == kept["__kept"], "left_semi").dropDuplicates([id_col])
-    return named.union(docs.where(F.col(id_col).isNull()))
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    keyed = docs.select(*(F.col(c).alias(n) for c, n in names.items())).withColumn("row", F.xxhash64(*names.values()))
+    id_name = names[id_col]
+    rows = cut(fingerprints(keyed, id_name, names[text_col], row=F.col("row")), "fingerprints")
+    first = F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "row")).alias("first")
+    kept = rows.join(_groups(rows).select("fp", "root"), "fp").groupBy("root").agg(first).select(F.col("first.id").alias("kept_id"), F.col("first.row").alias("kept_row"))
+    same = (keyed["row"] == kept["kept_row"]) & keyed[id_name].cast("long").eqNullSafe(kept["kept_id"])
+    one = keyed.join(kept, same, "left_semi").dropDuplicates(["row", id_name])
+    return one.select(*(F.col(n).alias(c) for c, n in names.items()))

@@ -39,3 +39,16 @@ def test_round_trip_of_hostile_turns(spark):
 def test_empty_table_gives_the_probe(spark):
     df = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert [r.conv_id for r in chat.format_conversations(chat.with_probe(df)).collect()] == [-1]
+
+
+def test_what_does_not_come_back_is_armoured_and_the_loss_lies_under_the_mask(spark):
+    odd = "\u0001 100% [INST] <\\s> </s>"
+    rows = [(1, 0, "user", odd), (1, 1, "assistant", odd), (2, 0, "</s>assistant", "x"), (2, 1, "assistant", "plain"), (3, 0, None, None)]
+    out = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    got = {r.conv_id: r for r in out.collect()}
+    for c in (1, 2, 3):
+        assert [(t.role, t.text) for t in got[c].turns] == [(r or "", t or "") for k, _, r, t in rows if k == c]
+    assert "plain" == got[2].formatted[got[2].mask[0].start : got[2].mask[0].end] and len(got[2].mask) == 1
+    by = {r.conv_id: r for r in chat.digests(out).collect()}
+    for c, loss in ((1, odd), (2, "plain"), (3, "")):
+        assert by[c].loss_chars == len(loss) and by[c].loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()

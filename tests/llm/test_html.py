@@ -1,3 +1,9 @@
+import time
+from collections import Counter
+
+from pyspark.sql import functions as F
+
+from sparkveil.llm import html
 from sparkveil.llm import html as h
 
 
@@ -56,3 +62,35 @@ def test_templates_of_a_hot_host_and_on_short_pages(spark):
     assert got == {r.page_id: r.text for r in h.main_text(df, broadcast_rows=0).collect()}
     assert got[20] == "Text 20 of page 20, long enough to be more than a half" and got[400] == "Short"
     assert got[1003] == "The same story on most pages of this host\n3"
+
+
+def test_deep_nesting_is_read_in_one_pass():
+    began = time.time()
+    page = html.Page("<p>first<p>second" + "<div>" * 20_000 + "deep" + "</div>" * 20_000 + "<table><tr><td><p>" + "<div>" * 20_000 + "x")
+    assert page.text(page.removed()) == "first\nsecond\ndeep\nx"
+    assert time.time() - began < 5
+
+
+def test_templates_are_what_recurs_and_equal_a_plain_count(spark):
+    box = '<div class="q{0}"><p>{1}</p></div>'
+    rows = []
+    for i in range(40):
+        own = f"<article><h1>Title {i}</h1><p>Own words of page {i}.</p><p>A line that many articles quote.</p></article>"
+        extra = box.format(1, "Read our other site") if i < 12 else ""  # no telling name: only its recurrence gives it away
+        rare = box.format(2, "A box on few pages") if i < 9 else ""
+        rows.append((i, f"http://h{i % 1}.example/{i}", f"<body><div>{extra}{rare}<p>Loose text {i}</p></div>{own.replace('article', 'section')}</body>"))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    seen = Counter(h for r in rows for h in {h for _, h, _ in html.Page(r[2]).subtrees()})
+    counts = {r["hash"] for r in html.host_templates(df.select(F.lit(1).cast("long").alias("host"), "html")).collect()}
+    assert counts == {h for h, n in seen.items() if n >= html.LEAST_PAGES} and counts
+    got = {r.page_id: r.text for r in html.main_text(df).collect()}
+    for i, text in got.items():
+        want = ([] if i >= 9 else ["A box on few pages"]) + [f"Loose text {i}", f"Title {i}", f"Own words of page {i}."]
+        assert text.split("\n") == want
+    assert got == {r.page_id: r.text for r in html.main_text(df, broadcast_rows=0).collect()}
+
+
+def test_templates_are_deleted_from_the_given_pages(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    found = html.host_templates(pages.select(html._host(F.col("url")).alias("host"), "html"))
+    assert found.count() > 0

@@ -1,7 +1,11 @@
+import statistics
+import math
 import hashlib
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from sparkveil.llm import secrets
 
 ASSIGN = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
@@ -63,3 +67,65 @@ def test_redact(spark):
     got = {r.doc_id: (r.text, r.n_chars, r.base) for r in out.collect()}
     assert got == {1: ("é [SECRET] and [SECRET].", 24, "x"), 2: (None, 5, "x"), 3: ("clean", 5, "x"), 4: ("[SECRET]", 8, "x")}
     assert secrets.scan(df.limit(0)).collect() == [] and secrets.redact(df.limit(0)).collect() == []
+
+
+def plain_battery(token):
+    body = token.rstrip("=")
+    letters = next((a for _, a in secrets.ENCODINGS[:-1] if set(body) <= set(a)), secrets.ENCODINGS[-1][1].replace("+/", "+/-_"))
+    k, n = min(64, len(letters)), len(body)
+    cdf = statistics.NormalDist().cdf
+    squares = sum(body.count(c) ** 2 for c in set(body))
+    chi = sum((body.count(c) - n / k) ** 2 / (n / k) for c in set(body)) + (k - len(set(body))) * n / k
+    spare = 2 / (9 * (k - 1))
+    chi_z = ((chi / (k - 1)) ** (1 / 3) - (1 - spare)) / spare**0.5
+    v = [letters.index(c) + 1 for c in body]
+    mean = sum(v) / n
+    serial = sum((a - mean) * (b - mean) for a, b in zip(v, v[1:])) / sum((a - mean) ** 2 for a in v) * n**0.5
+    high = sum(a > k / 2 for a in v)
+    runs = 1 + sum((a > k / 2) != (b > k / 2) for a, b in zip(v, v[1:]))
+    expected = 2 * high * (n - high) / n + 1
+    variance = (expected - 1) * (expected - 2) / (n - 1)
+    run_z = (runs - expected) / variance**0.5
+    half = -sum(math.log(p) for p in (1 - cdf(chi_z), 2 * cdf(-abs(run_z)), 2 * cdf(-abs(serial))))
+    rate = max(secrets.TEXT_COLLISION, 2 / k)
+    z = (squares - n - n * (n - 1) * rate) / (2 * n * n * rate) ** 0.5
+    return n, cdf(z), math.exp(-half) * (1 + half + half * half / 2)
+
+
+def test_battery_equals_a_plain_one(spark):
+    rng = random.Random(4)
+    tokens = ["".join(rng.choices(a.replace("+/", "+/-_") if "+" in a else a, k=n)) for _, a in secrets.ENCODINGS for n in (24, 40, 90)]
+    tokens += ["ababababab1212121212abab", "the1quick2brown3fox4jumps5over6the7lazy8dog"]
+    df = spark.createDataFrame([(t,) for t in tokens], "t string")
+    for row in df.select("t", secrets._battery(F.col("t")).alias("b")).collect():
+        n, p, r = plain_battery(row.t)
+        assert row.b.n == n and abs(row.b.p - p) < 0.002 and abs(row.b.r - r) < 0.004
+
+
+def test_false_discoveries_are_controlled_as_in_a_plain_procedure(spark):
+    rng = random.Random(9)
+    rows = [(rng.choice([20, 40, 100]), rng.random() ** rng.choice([1, 1, 12]), rng.random() ** rng.choice([1, 1, 1, 30])) for _ in range(4000)]
+    df = spark.createDataFrame(rows, "n int, p double, r double")
+    made = df.select(F.array(F.struct(F.struct("n", "p", "r").alias("test"))).alias("candidates"))
+    got = secrets.discovery_bins(made)
+
+    def bh(values):
+        good, values = 0, sorted(values)
+        for i, p in enumerate(values):
+            if p <= secrets.FALSE_SHARE * (i + 1) / len(values):
+                good = i + 1
+        return good
+
+    for n, c in ((20, 0), (40, 1), (100, 5)):
+        mine = [(p, r) for m, p, r in rows if m == n]
+        text, odd = got[c]
+        assert abs(sum(min(secrets.R_BINS, math.floor(-math.log(r) * secrets.R_PER_NAT)) >= odd for _, r in mine) - bh([r for _, r in mine])) <= 40
+        rest = [p for p, r in mine if math.floor(-math.log(r) * secrets.R_PER_NAT) < odd]
+        assert abs(sum(math.floor(-math.log(p) * secrets.BINS_PER_NAT) >= text for p in rest) - bh(rest)) <= 40
+
+
+def test_a_very_long_text_costs_its_length(spark):
+    text = "password: abcdefgh1 " * 30_000
+    (row,) = secrets.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    at = [(20 * i, 20 * i + 19) for i in range(30_000)]
+    assert row.n_assign == 30_000 and row.base_sha256 == hashlib.sha256(",".join(f"assign:{a}:{b}" for a, b in at).encode()).hexdigest()

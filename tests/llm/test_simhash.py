@@ -83,3 +83,10 @@ def test_empty_table_and_keep_one(spark):
     assert kept.columns == df.columns
     assert sorted((r.doc_id, r.source) for r in kept.where("doc_id is not null").collect()) == [(1, "t"), (3, "s")]
     assert kept.where("doc_id is null").count() == 1
+
+
+def test_rows_that_repeat_an_id_are_documents_of_their_own(spark):
+    rows = [(1, "a b c d e"), (3, "a b c d e"), (3, "quite other words in this text"), (None, "a b c d e"), (None, "words of a nameless one"), (None, "words of a nameless one")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.text) for r in simhash.keep_one(df).collect()), key=str)
+    assert got == sorted([(1, "a b c d e"), (3, "quite other words in this text"), (None, "words of a nameless one")], key=str)
