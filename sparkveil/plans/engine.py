@@ -13,7 +13,7 @@ from ..errors import Refused
 from ..functions.udf import Functions
 from ..sources.adopt import adopt
 from ..streaming.views import Epochs, StandingView
-from . import sqlfront
+from . import sqlfront, timeforms
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -32,8 +32,11 @@ class Prepared:
     sql: str
 
     def dataframe(self, params: object = None) -> DataFrame:
-        text = sqlfront.rewrite(self.engine.functions.expand(self.sql), params)
-        return self.engine.spark.sql(text)
+        text = self.engine.functions.expand(self.sql)
+        if any(t.word == "ASOF" for t in sqlfront.tokens(text)):
+            bound = sqlfront.text_of(sqlfront.bind(sqlfront.tokens(text), params))
+            text, params = timeforms.asof_views(self.engine.spark, bound, self.engine.query), None
+        return self.engine.spark.sql(sqlfront.rewrite(timeforms.rewrite_forms(text), params))
 
     def schema(self, params: object = None) -> StructType:
         return self.dataframe(params).schema

@@ -11,7 +11,7 @@ from ...sources.federation import JoinPolicy, PartitionedTable, federated_join,
 from ...streaming import views as V
 from ..catalog import query
 from ..engine import Engine
-from ..tables import table
+from ..tables import TABLES, table
 
 SPLIT = "2024-01-15"
 
@@ -169,6 +169,40 @@ def _remote(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source.where("n_regionkey = 2").select("n_nationkey", "n_name")
 
 
+def front(name: str, text: str, oracle: str) -> None:
+    """A query that goes through the engine's own SQL front end."""
+    words = set(text.replace("(", " ").replace(")", " ").replace(",", " ").split())
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return Engine(spark, {t: table(spark, sf_dir, t) for t in TABLES if t in words}).query(text)
+
+    query(name, oracle)(run)
+
+
+_HOUR = "time_bucket(INTERVAL '1 hour', ts, timestamp '1970-01-01')"
+front("sql_time_bucket", "SELECT event_id, TIME_BUCKET(INTERVAL '15' MINUTE, ts) AS b, TIME_BUCKET(INTERVAL '7' DAY, ts, TIMESTAMP_NTZ '2024-01-01 00:00:00') AS w FROM events",
+      "SELECT event_id, time_bucket(INTERVAL '15 minutes', ts, timestamp '1970-01-01') AS b, time_bucket(INTERVAL '7 days', ts, timestamp '2024-01-01') AS w FROM events")
+front("sql_tumble", "SELECT window_start, window_end, event_type, count(*) AS n FROM TABLE(TUMBLE(TABLE events, DESCRIPTOR(ts), INTERVAL '1' HOUR)) GROUP BY window_start, window_end, event_type",
+      f"SELECT {_HOUR} AS window_start, {_HOUR} + INTERVAL '1 hour' AS window_end, event_type, count(*) AS n FROM events GROUP BY ALL")
+front("sql_hop", "SELECT user_id, window_start, window_end, count(*) AS n FROM TABLE(HOP(TABLE events, DESCRIPTOR(ts), INTERVAL '2' HOUR, INTERVAL '5' HOUR)) GROUP BY user_id, window_start, window_end",
+      """SELECT user_id, w AS window_start, w + INTERVAL '5 hours' AS window_end, count(*) AS n FROM (
+      SELECT user_id, ts, unnest(generate_series(time_bucket(INTERVAL '2 hours', ts, timestamp '1970-01-01') - INTERVAL '6 hours', ts, INTERVAL '2 hours')) AS w FROM events)
+      WHERE w > ts - INTERVAL '5 hours' AND w <= ts GROUP BY ALL""")
+front("sql_session", "SELECT user_id, window_start, window_end, count(*) AS n FROM TABLE(SESSION(TABLE events, DESCRIPTOR(ts), DESCRIPTOR(user_id), INTERVAL '6' HOUR)) GROUP BY user_id, window_start, window_end",
+      """WITH f AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL '6 hours' THEN 0 ELSE 1 END AS o FROM events),
+      g AS (SELECT *, sum(o) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM f)
+      SELECT user_id, min(ts) AS window_start, max(ts) + INTERVAL '6 hours' AS window_end, count(*) AS n FROM g GROUP BY user_id, s""")
+front("sql_unnest_ordinality", "SELECT b.item_id, w.word, w.ord FROM benchmark b CROSS JOIN UNNEST(split(b.text, ' ')) WITH ORDINALITY AS w(word, ord)",
+      "SELECT item_id, unnest(string_split(text, ' ')) AS word, CAST(generate_subscripts(string_split(text, ' '), 1) AS int) AS ord FROM benchmark")
+front("sql_array_agg", "SELECT n_regionkey, array_join(ARRAY_AGG(n_name ORDER BY length(n_name) DESC, n_name), ',') AS names FROM nation GROUP BY n_regionkey",
+      "SELECT n_regionkey, array_to_string(array_agg(n_name ORDER BY length(n_name) DESC, n_name), ',') AS names FROM nation GROUP BY n_regionkey")
+_BUYS, _CLICKS = ("(SELECT user_id, min(event_id) AS event_id, ts FROM events WHERE event_type = '%s' GROUP BY user_id, ts)" % k for k in ("purchase", "click"))
+front("sql_asof", f"SELECT a.event_id, b.event_id AS b_event_id FROM {_BUYS} AS a ASOF JOIN {_CLICKS} AS b MATCH_CONDITION (a.ts >= b.ts) ON a.user_id = b.user_id",
+      f"SELECT a.event_id, b.event_id AS b_event_id FROM {_BUYS} a ASOF JOIN {_CLICKS} b ON a.user_id = b.user_id AND a.ts >= b.ts")
+front("sql_asof_computed", f"SELECT a.event_id, b.event_id AS b_event_id FROM {_BUYS} AS a LEFT ASOF JOIN {_CLICKS} AS b MATCH_CONDITION (a.ts - INTERVAL '1' HOUR > b.ts) ON a.user_id = b.user_id AND b.event_id % 2 = 0 AND a.event_id % 3 <> 0",
+      f"SELECT a.event_id, b.event_id AS b_event_id FROM (SELECT *, CASE WHEN event_id % 3 <> 0 THEN ts - INTERVAL 1 HOUR END AS t FROM {_BUYS}) a ASOF LEFT JOIN (SELECT * FROM {_CLICKS} WHERE event_id % 2 = 0) b ON a.user_id = b.user_id AND a.t > b.ts")
+
+
 @query("engine_parameters", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus IN ('F', 'P') AND o_totalprice > 100000 ORDER BY o_totalprice DESC, o_orderkey LIMIT 10 OFFSET 5")
 def _parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
     engine = Engine(spark, {"orders": table(spark, sf_dir, "orders")})

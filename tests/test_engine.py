@@ -258,3 +258,22 @@ def test_a_batch_counts_once_and_a_restart_goes_on(spark):
     again = V.Epochs.open(spark, epochs.folder)
     assert again.refresh(append={"a": new}, batch=("s", 0)) == 1 and again.refresh(append={"a": new}, batch=("s", 1)) == 2
     assert sorted(r.k for r in again.read("a").collect()) == [1, 2, 2]
+
+
+def test_time_forms_of_the_front_end(spark):
+    e = Engine(spark, {"t": spark.createDataFrame([(1, [3, 1]), (2, []), (3, None)], "id int, arr array<int>")})
+    got = e.query("SELECT t.id, a.x, a.o FROM t LEFT JOIN UNNEST(t.arr) WITH ORDINALITY AS a(x, o) ON TRUE ORDER BY 1, 3").collect()
+    assert [tuple(r) for r in got] == [(1, 3, 1), (1, 1, 2), (2, None, None), (3, None, None)]
+    times = "SELECT timestamp_ntz '2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, 0, n) AS ts, n FROM (VALUES (0), (50), (70), (200)) v(n) UNION ALL SELECT NULL, -1"
+    e = Engine(spark, {"u": Engine(spark, {}).query(times)})
+    rows = e.query("SELECT n, window_start FROM TABLE(SESSION(TABLE u, DESCRIPTOR(ts), INTERVAL '1' MINUTE)) ORDER BY n").collect()
+    assert rows[0].window_start is None and len({r.window_start for r in rows[1:]}) == 2
+    for sql in (
+        "SELECT * FROM TABLE(TUMBLE(TABLE u, DESCRIPTOR(ts), INTERVAL '1' MONTH))",
+        "SELECT * FROM u ASOF JOIN u v ON u.n = v.n",
+        "SELECT u.n FROM u ASOF JOIN u v MATCH_CONDITION (u.ts = v.ts) ON u.n = v.n",
+        "SELECT u.n FROM u ASOF JOIN u v MATCH_CONDITION (u.ts >= v.ts) ON u.n < v.n",
+        "SELECT * FROM UNNEST(ARRAY(1)) AS a(x)",
+    ):
+        with pytest.raises(Refused):
+            e.query(sql)
