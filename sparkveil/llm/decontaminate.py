@@ -96,7 +96,8 @@ def _build(patterns: Iterable[bytes]) -> list[_Tables]:
     return [_Tables(ps) for ps in by_class.values()]
 
 
-_built: dict[int, list[_Tables]] = {}
+#: The last patterns that this worker met, and their tables; the patterns are held, so none can take their place.
+_built: list[tuple[object, list[_Tables]]] = []
 
 
 def _merge(spans: list[tuple[int, int]]) -> list[int]:
@@ -145,10 +146,9 @@ def _block_pass(rows: DataFrame, patterns) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         owners = patterns.value
-        if id(owners) not in _built:
-            _built.clear()
-            _built[id(owners)] = _build(owners)
-        tables = _built[id(owners)]
+        if not _built or _built[0][0] is not owners:
+            _built[:] = [(owners, _build(owners))]
+        tables = _built[0][1]
         for batch in batches:
             spans, items = batch.column(3).to_pylist(), batch.column(4).to_pylist()
             counts: list[int] = []
