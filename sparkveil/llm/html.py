@@ -57,6 +57,7 @@ class Page:
     def __init__(self, html: str):
         self.tags, self.parents, self.attrs = ["#root"], [0], [{}]
         self.events: list[tuple[int, str | None]] = []  # (element, text) or (element, None) at a block edge
+        self.ruled_out: list[bool] | None = None
         self.open: dict[str, list[int]] = {}  # places in the stack of each open tag
         self._read(html)
 
@@ -123,13 +124,15 @@ class Page:
         del stack[k:]
 
     def removed(self) -> list[bool]:
-        """Which elements the markup itself rules out, with all below them."""
+        """Which elements the markup itself rules out, with all below them; worked out once."""
+        if self.ruled_out is not None:
+            return self.ruled_out
         out, inside = [False] * len(self.tags), [False] * len(self.tags)
         for i in range(1, len(self.tags)):
             tag, up, a = self.tags[i], self.parents[i], self.attrs[i]
             inside[i] = inside[up] or tag in ("article", "main")
             out[i] = out[up] or self._unwanted(tag, a, inside[up])
-        self.inside = inside
+        self.inside, self.ruled_out = inside, out
         return out
 
     @staticmethod
