@@ -61,6 +61,11 @@ def _render(content: Column) -> Column:
     return F.when(same, light).otherwise(F.concat(F.lit("\u0001"), _armour(content)))
 
 
+def _let(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once, however often ``use`` names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _pieces(said: Column, write) -> Column:
     """array<struct<role,head,body>> of the turns, their contents written by ``write``."""
     return F.transform(said, lambda t: F.struct(t["role"].alias("role"), F.concat(F.lit(OPEN), write(t["role"]), F.lit(TEXT)).alias("head"), write(t["text"]).alias("body")))
@@ -88,9 +93,20 @@ def format_conversations(turns: DataFrame, conv: str = "conv_id", turn: str = "t
     piece = F.struct(F.col("turn").isNotNull().alias("has_turn"), "turn", "role", "text")
     grouped = rows.select("conv_id", piece.alias("p")).groupBy("conv_id").agg(F.array_sort(F.collect_list("p")).alias("ps"))
     said = grouped.select("conv_id", F.transform("ps", lambda p: F.struct(p["role"].alias("role"), p["text"].alias("text"))).alias("said"))
-    light, careful, armoured = (_pieces(F.col("said"), write) for write in (escape, _render, lambda c: F.concat(F.lit("\u0001"), _armour(c))))
-    same = lambda pieces: parse(_joined(pieces)).eqNullSafe(F.col("said"))
-    chosen = said.select("conv_id", F.when(same(light), light).when(same(careful), careful).otherwise(armoured).alias("pieces"))
+    writers = (escape, _render, lambda c: F.concat(F.lit("\u0001"), _armour(c)))
+
+    def written(writer: int) -> Column:
+        """The conversation by the first of the remaining writers whose output is read back as it was."""
+
+        def joined(pieces: Column) -> Column:
+            return _let(_joined(pieces), lambda f: F.struct(pieces.alias("pieces"), f.alias("formatted"), parse(f).alias("turns")))
+
+        def checked(w: Column) -> Column:
+            return w if writer + 1 == len(writers) else F.when(w["turns"].eqNullSafe(F.col("said")), w).otherwise(written(writer + 1))
+
+        return _let(_let(_pieces(F.col("said"), writers[writer]), joined), checked)
+
+    chosen = said.select("conv_id", written(0).alias("w")).select("conv_id", "w.pieces", "w.formatted", "w.turns")
     grow = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("out"))
 
     def mark(acc: Column, p: Column) -> Column:
@@ -99,8 +115,7 @@ def format_conversations(turns: DataFrame, conv: str = "conv_id", turn: str = "t
         span = F.array(F.struct(start.alias("start"), end.alias("end")))
         return F.struct((end + len(END + CLOSE)).alias("at"), F.when(p["role"] == "assistant", F.concat(acc["out"], span)).otherwise(acc["out"]).alias("out"))
 
-    made = chosen.select("conv_id", _joined(F.col("pieces")).alias("formatted"), F.aggregate("pieces", grow, mark, lambda acc: acc["out"]).alias("mask"))
-    return made.withColumn("turns", parse(F.col("formatted")))
+    return chosen.select("conv_id", "formatted", "turns", F.aggregate("pieces", grow, mark, lambda acc: acc["out"]).alias("mask"))
 
 
 def with_probe(turns: DataFrame) -> DataFrame:
