@@ -1,4 +1,4 @@
-"""The whole-table forms of queries that are also registered over id ranges and prefixes."""
+"""Queries that were once registered over id ranges and prefixes read whole tables."""
 
 import pytest
 
