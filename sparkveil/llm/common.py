@@ -62,7 +62,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Nodes without an edge to another node do not appear. Alternates the large-star and small-star
     steps (Kiveris et al., 2014): every round only needs each node's smallest neighbour, which is
-    pre-aggregated before the shuffle, so no task ever gathers the neighbours of one node.
+    pre-aggregated before the shuffle, so no task ever gathers the neighbours of one node. A large step
+    makes at most a row an edge, so only the small step, which may repeat rows, ends with a distinct.
     """
     forest = cut(
         edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(),
@@ -72,11 +73,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
     while seen[0]:
         both = forest.union(forest.select("v", "u"))
         low = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("low"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("low").alias("v")).distinct()
-        large = cut(large, "large")
+        large = cut(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("low").alias("v")), "large")
         low = large.groupBy("u").agg(F.min("v").alias("low"))
-        small = large.join(low, "u").where("v <> low").select(F.col("v").alias("u"), F.col("low").alias("v"))
-        following = cut(small.union(low).distinct(), "small")
+        hung = F.explode(F.array(F.struct("u", F.col("low").alias("v")), F.struct(F.col("v").alias("u"), F.col("low").alias("v"))))
+        following = cut(large.join(low, "u").select(hung.alias("e")).select("e.u", "e.v").where("u <> v").distinct(), "small")
         discard(large, forest)
         forest, before, seen = following, seen, rows_and_digest(following)
         if seen == before:
