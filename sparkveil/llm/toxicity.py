@@ -25,6 +25,8 @@ LEAST_CONTEXTS = 8
 LEAST_RATIO, SHORT_RATIO = 12, 60
 #: Bytes of a token that its hash reads; longer tokens are told apart by their length as well.
 WORD_BYTES = 64
+#: Rows and bytes of text that a fit takes at a time (a longer text by itself); a byte needs some 85 bytes of memory.
+PART_ROWS, PART_BYTES = 256, 1 << 21
 #: Lengths of the prefixes that are features (of the suffixes: those up to 4).
 AFFIXES = (3, 4, 5, 6, 7, 8)
 
@@ -235,10 +237,9 @@ def lexicon(sample: DataFrame) -> list[int]:
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo in range(0, b.num_rows, 256):
-                part = b.slice(lo, 256)
-                t = tokenize([x.as_py() or b"" for x in part.column(0)])
-                y = np.array(part.column(1).to_pylist(), dtype=np.int8)
+            for texts, labels in _parts(b):
+                t = tokenize(texts)
+                y = np.array(labels, dtype=np.int8)
                 with np.errstate(over="ignore"):
                     around = np.roll(t.word, 1) * _P + np.roll(t.word, -1)
                 stems, at = t.stems.T.ravel().astype(np.int64), np.tile(np.arange(len(t.word)), t.stems.shape[1])
@@ -269,10 +270,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int = F
     def chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = np.array(sorted(toxic_words), dtype=np.uint64)
         for b in batches:
-            for lo in range(0, b.num_rows, 256):
-                part = b.slice(lo, 256)
-                y = np.array(part.column(1).to_pylist(), dtype=np.int64)
-                t = tokenize([x.as_py() or b"" for x in part.column(0)])
+            for texts, labels in _parts(b):
+                y = np.array(labels, dtype=np.int64)
+                t = tokenize(texts)
                 if not len(t.word):
                     continue
                 tag = np.isin(t.stems, known).any(axis=1) & (y[t.doc] == 1)
@@ -316,6 +316,16 @@ def _pieces(texts: list[bytes], size: int = 1 << 20) -> Iterator[tuple[int, int]
         yield start, len(texts)
 
 
+def _parts(batch: pa.RecordBatch) -> Iterator[tuple[list[bytes], list[int]]]:
+    """Texts and labels of a batch (text, y): all its rows, at most PART_ROWS and about PART_BYTES at a time."""
+    for lo in range(0, batch.num_rows, PART_ROWS):
+        part = batch.slice(lo, PART_ROWS)
+        texts = [x.as_py() or b"" for x in part.column(0)]
+        labels = part.column(1).to_pylist()
+        for a, b in _pieces(texts, PART_BYTES):
+            yield texts[a:b], labels[a:b]
+
+
 def _applied(field: Field, spans: bool = False):
     """mapInArrow function over (text, key): document figures, and offending byte spans if asked for."""
 

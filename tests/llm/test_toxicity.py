@@ -1,6 +1,7 @@
 import itertools
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from sparkveil.llm import toxicity as tx
@@ -85,3 +86,36 @@ def test_a_root_of_four_bytes_labels_its_forms(spark, endings, each):
     held = [i for i, _ in labels if got[i].held_out]
     assert len(held) > 50 and np.mean([got[i].predicted == dict(labels)[i] for i in held]) > 0.97
     assert got[5002].predicted == 1 and (0, 6) in [(s.start, s.end) for s in got[5002].spans]
+
+
+@pytest.mark.parametrize("step", ["lexicon", "chains"])
+def test_a_fit_takes_long_texts_by_bytes_and_leaves_none_out(monkeypatch, step):
+    class Sample:
+        """Hands over the function that a step maps over the sample."""
+
+        def select(self, *_):
+            return self
+
+        cache = select
+
+        def mapInArrow(self, run, _):
+            self.run = run
+            raise InterruptedError
+
+    sample, whole, read = Sample(), tx.tokenize, []
+
+    def tokenize(texts):
+        read.append((len(texts), sum(map(len, texts))))
+        return whole([t[:60] for t in texts])
+
+    monkeypatch.setattr(tx, "tokenize", tokenize)
+    monkeypatch.setattr(tx, "labelled_sample", lambda *_: sample)
+    if step == "chains":
+        monkeypatch.setattr(tx, "lexicon", lambda _: [])
+    with pytest.raises(InterruptedError):
+        tx.fit(None, None)
+    texts = [b"some words " * 10_000] * 300 + [None, b""]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.binary()), pa.array([1, 0] * 151, pa.int32())], names=["text", "y"])
+    list(sample.run([batch]))
+    assert sum(n for n, _ in read) == 302 and sum(size for _, size in read) == 300 * 110_000
+    assert max(size for _, size in read) < 2_500_000
