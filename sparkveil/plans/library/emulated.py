@@ -79,9 +79,9 @@ def _exclude(mode: str) -> None:
 
     @query("exclude_" + mode.replace(" ", "_"), f"SELECT o_orderkey, count(o_custkey) OVER {frame} AS n, CAST(sum(o_orderkey) OVER {frame} AS bigint) AS s, max(o_orderkey) OVER {frame} AS m FROM orders")
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        w = Window.partitionBy("o_orderpriority").orderBy("o_custkey").rangeBetween(-20, 20)
-        call = lambda x, f: winext.exclude(F.col(x), F.col("o_orderkey"), F.col("o_custkey"), w, mode, f)
-        return table(spark, sf_dir, "orders").select("o_orderkey", call("o_custkey", "count").alias("n"), call("o_orderkey", "sum").alias("s"), call("o_orderkey", "max").alias("m"))
+        orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+        calls = {"n": ("count", "o_custkey"), "s": ("sum", "o_orderkey"), "m": ("max", "o_orderkey")}
+        return winext.exclude_range(orders, ["o_orderpriority"], "o_custkey", -20, 20, mode, calls).select("o_orderkey", *calls)
 
 
 for _mode in ("current row", "group", "ties", "no others"):
