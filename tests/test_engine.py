@@ -280,7 +280,7 @@ def test_time_forms_of_the_front_end(spark):
             e.query(sql)
 
 
-@pytest.mark.parametrize("mode", ["group"])
+@pytest.mark.parametrize("mode", ["group", "ties", "current row", "no others"])
 def test_exclude_over_ranges_deals_out_frames(spark, tmp_path, mode):
     name = "exclude_" + mode.replace(" ", "_")
     keys = [None, None, *range(-45, 46), *range(2545, 2576), 7, 7, 7, 10**12, 10**12 + 20]
